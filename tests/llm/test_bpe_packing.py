@@ -107,11 +107,12 @@ def test_balance_fills_and_evens_out():
     made, full = packing.balance(sizes, 1024, 1.0, 1 / 1024)
     assert all(sum(n for _, _, n in x) == 1024 for x in made[:full]) and len(made) - full <= 1
     cost = [sum(n + n * n / 1024 for _, _, n in x) for x in made[:full]]
-    in_order, at = defaultdict(float), 0  # filled one after the other, cut where they end
-    for s in sizes:
-        while s:
-            n = min(s, 1024 - at % 1024)
-            in_order[at // 1024] += n + n * n / 1024
-            at, s = at + n, s - n
-    plain = [in_order[k] for k in range(full)]
-    assert np.std(cost) < np.std(plain)
+    room, first_fit = [], []
+    for s in sorted(sizes, reverse=True):
+        k = next((k for k, r in enumerate(room) if r >= s), len(room))
+        if k == len(room):
+            room.append(1024)
+            first_fit.append(0.0)
+        room[k] -= s
+        first_fit[k] += s + s * s / 1024
+    assert np.std(cost) < np.std(first_fit)
