@@ -79,3 +79,33 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    # a null id is not held out: its remainder is unknown
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    net = fit(docs, held_out=held_out)
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.urls import judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.topk import exact_top_k
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # a null or non-finite component stays what it is, so the operator leaves the row out
+    scaled = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(x.cast("double") * 64).cast("double")))
+    found = exact_top_k(rows.withColumn("vector", scaled), 20, F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
