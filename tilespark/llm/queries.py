@@ -109,3 +109,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(x.cast("double") * 64).cast("double")))
     found = exact_top_k(rows.withColumn("vector", scaled), 20, F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
