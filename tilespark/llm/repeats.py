@@ -257,19 +257,21 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, gram: int = 128) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, gram: int = 128, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, kept, removed) of every row: ``kept`` what is left of the UTF-8 bytes,
     ``removed`` the maximal runs (start, end) that were cut out.
 
     Windows do not cross texts; a text may repeat itself, and a row's exact copy repeats
     all of it.  Repeats are judged on the input, so every occurrence goes.  Null texts
-    are empty.  Texts shorter than ``length`` are kept.  Other columns are not read.
+    are empty.  Texts shorter than ``length`` are kept.  Of the other columns those in
+    ``carry`` are passed on, in one column ``rest``; no other is read.
     """
     if not 8 <= gram <= length or length - gram >= 255 or length < 128:
         raise ValueError("8 <= gram <= length < gram + 255, and length >= 128")
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
-    whole = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    rest = [F.struct(*(df[c] for c in carry)).alias("rest")] if carry else []
+    whole = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *rest)
     # rows that agree in id and text share this; what is found for one holds for the other
     whole = whole.withColumn("doc", F.xxhash64("id", "text"))
     docs = whole.where(F.octet_length("text") >= length).select("doc", "text")
@@ -315,12 +317,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b"".join(parts) + text[at:])
                     cut.append([{"start": a, "end": b} for a, b in runs])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in texts_of(part.column(1))], pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=["id", "n_bytes", "kept", "removed"],
+                    [part.column(0), pa.array([len(x) for x in texts_of(part.column(1))], pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *part.columns[3:]],
+                    names=schema.names,
                 )
 
     side = F.broadcast(found) if n <= BROADCAST_VALUES else found
-    last = whole.join(side, "doc", "left").select("id", "text", "values")
+    last = whole.join(side, "doc", "left").select("id", "text", "values", *(["rest"] if carry else []))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("id", whole.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", span)])
+    schema = T.StructType([T.StructField("id", whole.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", span), *([whole.schema["rest"]] if carry else [])])
     return last.mapInArrow(run, schema).withColumnRenamed("id", id_col)
