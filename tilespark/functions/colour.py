@@ -7,41 +7,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code points of ITU-T H.273 (primaries, transfer, matrix, full range).
+# Names, and code points (primaries, transfer) of the JPEG XL specification.
 SPECS = {
-    "srgb": (1, 13, 0, True),
-    "linear-srgb": (1, 8, 0, True),
-    "display-p3": (12, 13, 0, True),
-    "linear-display-p3": (12, 8, 0, True),
-    "rec709": (1, 1, 1, False),
-    "rec2020": (9, 14, 9, False),
-    "linear-rec2020": (9, 8, 0, True),
-    "rec2100-pq": (9, 16, 9, True),
-    "rec2100-hlg": (9, 18, 9, True),
-    "display-p3-pq": (12, 16, 0, True),
-    "display-p3-hlg": (12, 18, 0, True),
-    "bt601": (6, 6, 6, False),
-    "gray": (1, 13, 0, True),
-    "linear-gray": (1, 8, 0, True),
-    "adobe-rgb": (1, 4, 0, True),
+    "srgb": (1, 13),
+    "srgb-linear": (1, 8),
+    "linear-srgb": (1, 8),
+    "linear": (1, 8),
+    "display-p3": (11, 13),
+    "p3": (11, 13),
+    "p3-linear": (11, 8),
+    "rec709": (1, 1),
+    "bt709": (1, 1),
+    "rec2020-pq": (9, 16),
+    "bt2020-pq": (9, 16),
+    "rec2020-hlg": (9, 18),
+    "bt2020-hlg": (9, 18),
+    "rec2020-linear": (9, 8),
+    "bt2020-linear": (9, 8),
 }
 
 
 @dataclass(frozen=True)
 class Colour:
-    primaries: int
-    transfer: int
-    matrix: int
-    full_range: bool
+    primaries: int = 1
+    transfer: int = 13
+    white_point: int = 1
+    rendering_intent: int = 1
+    gamma: float = 0.0
 
     @property
     def is_hdr(self) -> bool:
+        """Perceptual quantiser or hybrid log-gamma."""
         return self.transfer in (16, 18)
 
 
-def parse_color(spec) -> Colour:
-    """A specification by name; ``_`` counts as ``-`` and case does not count."""
-    if isinstance(spec, Colour):
+def parse_color(spec) -> Colour | None:
+    """A specification by name; ``_`` counts as ``-``, case does not count, None stays."""
+    if spec is None or isinstance(spec, Colour):
         return spec
     if not isinstance(spec, str):
         raise TypeError("a colour is a name")
