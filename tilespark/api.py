@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions.registry import CODECS, BackendUnavailable, Codec, codec_for_bytes, codec_for_path, get_codec, has_codec, list_codecs, register_codec, resolve_codec
 from tilespark.operators import pyramid
-from tilespark.sources import containers, czi, tiff, zarr
+from tilespark.sources import acquisitions, containers, czi, tiff, zarr
 
 __all__ = ["BackendUnavailable", "Codec", "codec_for_bytes", "codec_for_path", "get_codec", "has_codec", "list_codecs", "open", "open_pyramid", "read", "read_region", "reduce_frames", "register_codec", "resolve_codec", "write"]
 
@@ -33,7 +33,7 @@ def read(spark: SparkSession, path: str, *, format: str | None = None, **options
     if kind in ("tiff", "zarr"):
         containers.register(spark)
         return spark.read.format(kind).options(**options).option("path", path).load()
-    readers = {"fits": containers.read_fits, "ndtiff": containers.read_ndtiff_index, "czi": czi.read_czi, "eer": czi.read_eer, **dict.fromkeys(("png", "bmp", "qoi", "gif"), containers.read_images)}
+    readers = {"fits": containers.read_fits, "ndtiff": containers.read_ndtiff_index, "czi": czi.read_czi, "eer": czi.read_eer, "lif": acquisitions.read_lif, **dict.fromkeys(("png", "bmp", "qoi", "gif"), containers.read_images)}
     if kind in readers:
         return readers[kind](spark, path)
     raise BackendUnavailable(f"{kind}: no backend installed")
