@@ -117,3 +117,14 @@ def test_shingles_take_distinct_hashes():
     x = similarity.shingles(texts, 3)
     assert len(x[0]) == 2 and len(x[3]) == 0 and np.array_equal(x[0], x[4])
     assert x[1][0] != x[2][0]
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rnd = np.random.default_rng(0)
+    for n in (9, 20, 100, 700, 5000):
+        for percent in (80, 90):
+            a = similarity.distinct(rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            for extra in (0, n // 20, n // 8):
+                b = similarity.distinct(np.concatenate([a[extra:], rnd.integers(0, 1 << 63, extra).astype(np.uint64)]))
+                apart = 2 * extra
+                assert similarity.differing(similarity.sketch(a, percent), similarity.sketch(b, percent)) <= apart

@@ -3,6 +3,7 @@ broadcast side is measured first, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,26 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut there and a lost
-    executor costs no recomputation; ``drop()`` deletes those no longer needed."""
+    executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
         df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the table that ``df`` reads, once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.root.split(":", 1)[-1].lstrip("/") in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(conf).delete(path, True)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more, and lets shuffle files of finished
+        jobs go: Spark removes them when the driver collects what refers to them."""
+        for df in tables:
+            if entry := self.paths.pop(id(df), None):
+                self._delete(entry[1])
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self.paths.clear()
+        self._delete(self.root)
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -10,14 +10,17 @@ Which cells of the matrix are looked at is settled by the shingles' rarity.  Und
 order of all shingles, two documents similar enough share one of their first
 ``n - ceil(t * n) + 1`` shingles, and the places of the first shared one tell how many
 they differ in at least.  The order takes counts of hash buckets over the whole corpus,
-rarest first, so that a passage that many documents share comes last.
+rarest first, so that a passage that many documents share comes last.  A sketch of some
+hundred bytes then tells for most pairs that they differ in too much: it sums the hashes
+in each range, and every range whose sums differ holds a shingle that only one set has.
 
 1. Count the shingles' hash buckets (a table of fixed size, whatever the corpus).
-2. Write each document's size, set fingerprint and rare shingles.
+2. Write each document's size, set fingerprint, rare shingles and sketch.
 3. Group: for each rare shingle the document that has it earliest leads; each document is
    compared with its nearest leader.  Linked ones are a group (a connected component).
-4. Documents that share a rare shingle with another group are queries against it; the
-   matrix's bound decides, then the members are compared exactly.
+4. Documents that share a rare shingle with a larger group are queries against it: one
+   row for the whole group, whose members' sketches come in blocks.  Sketches and the
+   matrix's bound decide, then the members left are compared exactly.
 5. Components of all links, labelled with their smallest id.
 
 Nothing is counted in pairs of copies: equal sets share a fingerprint and are one node.
@@ -36,9 +39,15 @@ from tilespark.llm.common import Scratch, components, small_side
 from tilespark.llm.hashing import U, mix, prefix, spans
 
 #: Hash buckets whose counts order the shingles: 2 ** this.
-BUCKET_BITS = 18
+BUCKET_BITS = 24
+#: They are counted in pieces of 2 ** this, up to so many shingles at a time.
+PIECE_BITS, COUNT_AT_ONCE = 18, 1_500_000
 #: Fingerprints a task remembers so as to list a set's rare shingles once.
-SEEN_SETS = 500_000
+SEEN_SETS = 300_000
+#: Bytes of text that are shingled at once.
+SHINGLE_BYTES = 1 << 19
+#: Members of a group that are compared with a query at once.
+GROUP_BLOCK = 256
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -93,13 +102,13 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def fingerprint(tokens: np.ndarray) -> int:
     """Of a set, given as sorted distinct hashes."""
-    x = mix(tokens + U(0x165667B19E3779F9)).sum(keepdims=True) + U(len(tokens)) * U(0x27D4EB2F165667C5)
+    x = mix(tokens + U(0x165667B19E3779F9)).sum(keepdims=True) + np.full(1, len(tokens), U) * U(0x27D4EB2F165667C5)
     return int(mix(x).view(np.int64)[0])
 
 
-def rare_first(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` tokens in the order of all tokens: bucket's count, then hash."""
-    order = np.lexsort((tokens, counts[tokens >> U(64 - BUCKET_BITS)]))
+def rare_first(tokens: np.ndarray, ranks: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` tokens in the order of all tokens: bucket's rank, then hash."""
+    order = np.lexsort((tokens, ranks[tokens >> U(64 - BUCKET_BITS)]))
     return tokens[order[:n]]
 
 
@@ -112,30 +121,84 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for x in [np.concatenate([U(0)[None][:0], *shingles(texts_of(part.column(1)), words)])]:
-                    total += np.bincount((x >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+def sketch(tokens: np.ndarray, percent: int) -> bytes:
+    """Sums of the hashes in even ranges, modulo 256; more ranges than similar sets of
+    this size may differ in.  The number of ranges is a power of two."""
+    most = (len(tokens) * 100 // percent + len(tokens)) * (100 - percent) // (100 + percent)
+    bits = max(4, (3 * most // 2).bit_length())
+    value = (tokens & U(0xFF)).astype(np.float64)
+    return np.bincount((tokens >> U(64 - bits)).astype(np.int64), value, 1 << bits).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Ranges in which two sketches differ, after the finer one is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (v.reshape(n, -1).sum(1, dtype=np.uint8) for v in (a, b))
+    return int((a != b).sum())
+
+
+def _bucket_ranks(docs: DataFrame, words: int) -> np.ndarray:
+    """How often each hash bucket occurs in the corpus, in steps of a twelfth or so (one
+    byte for each bucket, on a logarithmic scale)."""
+    piece = 1 << PIECE_BITS
+
+    def count(batches):
+        held, size = [], 0
+
+        def out():
+            buckets = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+            n = np.diff(np.concatenate([first, [len(buckets)]]))
+            at = buckets[first].astype(np.int64)
+            cuts = np.searchsorted(at, np.arange(0, (1 << BUCKET_BITS) + 1, piece))
+            numbers, packed = [], []
+            for k in range(len(cuts) - 1):
+                if cuts[k + 1] > cuts[k]:
+                    part = np.zeros(piece, np.uint32)
+                    part[at[cuts[k] : cuts[k + 1]] - k * piece] = n[cuts[k] : cuts[k + 1]]
+                    numbers.append(k)
+                    packed.append(pa.compress(part.tobytes(), "zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["piece", "counts"])
 
-    found = docs.select(F.lit(0).alias("id"), "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, (1 << 62)).astype(np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", SHINGLE_BYTES):
+                for x in shingles(texts_of(part.column(0)), words):
+                    held.append((x >> U(64 - BUCKET_BITS)).astype(np.uint32))
+                    size += len(x)
+                if size >= COUNT_AT_ONCE:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(pa.decompress(packed, piece * 4, "zstd", asbytes=True), np.uint32)
+                total[k] = total[k] + part if k in total else part.astype(np.int64)
+        ranks = [np.rint(np.log2(1.0 + v) * 6).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["piece", "counts"])
+
+    schema = "piece int, counts binary"
+    found = docs.select("text").mapInArrow(count, schema).repartition(1 << BUCKET_BITS - PIECE_BITS, "piece").mapInArrow(add, schema)
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in found.collect():
+        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
-def _profiles(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, fp, rare): ``rare`` is left empty where the task has listed the same set."""
+def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n, fp, rare, sketch): the last two are left empty where the task has listed the
+    same set, or no other set of its size can be similar."""
+    ranks = docs.sparkSession.sparkContext.broadcast(_bucket_ranks(docs, words))
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
-                sizes, fps, rare = [], [], []
+            for part in slices(batch, "text", SHINGLE_BYTES):
+                sizes, fps, rare, sketches = [], [], [], []
                 for x in shingles(texts_of(part.column(1)), words):
                     x = distinct(x)
                     sizes.append(len(x))
@@ -144,14 +207,17 @@ def _profiles(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                     k = prefix_length(len(x), percent)
                     if not k or fp in seen:
                         rare.append([])
+                        sketches.append(None)
                         continue
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(fp)
-                    rare.append(rare_first(x, counts, k).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "n", "fp", "rare"])
+                    rare.append(rare_first(x, ranks.value, k).view(np.int64))
+                    sketches.append(sketch(x, percent))
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "fp", "rare", "sketch"])
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -160,7 +226,7 @@ def _sets(docs: DataFrame, want: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHINGLE_BYTES):
                 fps, sets = [], []
                 for x, want_fp in zip(shingles(texts_of(part.column(1)), words), part.column(2).to_pylist()):
                     x = distinct(x)
@@ -181,6 +247,54 @@ def _fits(a: str, b: str, percent: int) -> str:
     )
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, ...) whose sketches do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            x, y, n = (batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))
+            keep = [differing(p, q) * (100 + percent) <= m * (100 - percent) for p, q, m in zip(x, y, n)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:-3]], names=batch.schema.names[:-3])
+
+    a, b = (sketches.select(F.col("fp").alias(k), F.col("sketch").alias(f"s_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return both.mapInArrow(run, pairs.schema)
+
+
+def _openable(placed: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b, g): queries and the members of other groups that their sketches let pass.
+
+    ``placed`` has (token, fp, n, i, g, size).  A group is one row for each token, so a
+    query meets a group once however many members share the token.  Of two groups the
+    members of the smaller one are the queries.
+    """
+    q = placed.select("token", *(F.col(c).alias(f"q_{c}") for c in ("fp", "n", "i", "g", "size")))
+    matrix = placed.groupBy("token", "g", "size").agg(F.min("i").alias("i"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = q.join(matrix, "token").where(
+        f"(q_size < size or q_size = size and q_g < g) and q_n * 100 >= lo * {percent} and hi * 100 >= q_n * {percent}"
+        f" and (q_i + i) * {100 + percent} <= (q_n + least(hi, q_n * 100 div {percent})) * {100 - percent}"
+    )
+    met = scratch.table(met.select(F.col("q_fp").alias("a"), "g").distinct())
+    members = placed.select("fp", "g", "size").distinct().join(met.select("g").distinct(), "g", "left_semi").join(sketches, "fp")
+    block = F.pmod(F.xxhash64("fp"), F.floor((F.col("size") - 1) / GROUP_BLOCK) + 1)
+    blocks = members.groupBy("g", block.alias("block")).agg(F.collect_list(F.struct("fp", "n", "sketch")).alias("m"))
+    blocks = scratch.table(blocks.select("g", F.col("m.fp").alias("fps"), F.col("m.n").alias("ns"), F.col("m.sketch").alias("sketches")))
+    own = sketches.select(F.col("fp").alias("a"), F.col("n").alias("q_n"), F.col("sketch").alias("q_sketch"))
+    asked = met.join(own, "a").join(blocks, "g").select("a", "g", "q_n", "q_sketch", "fps", "ns", "sketches")
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for a, g, n, x, fps, ns, ys in zip(*(c.to_pylist() for c in batch.columns)):
+                for b, m, y in zip(fps, ns, ys):
+                    if min(n, m) * 100 >= max(n, m) * percent and differing(x, y) * (100 + percent) <= (n + m) * (100 - percent):
+                        out.append((a, b, g))
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "g"])
+
+    return asked.mapInArrow(run, "a long, b long, g long")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of fingerprints whose sets are similar."""
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -208,49 +322,50 @@ def _qualifying(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int,
     return pairs.join(open_, ["a", "g"], "left_semi").select("a", "b")
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the component is the smallest id that
     links lead to; two rows link if ``100 * |A n B| >= percent * |A u B|``.
 
     Null texts and texts without words have no shingles, link with nothing and are their
     own component.  Rows of equal sets always link, however many there are.  Rows with a
     null id link by equal sets only and never name a component another row could.  Only
-    the two named columns are read; an empty table gives no rows.
+    the two named columns are read; an empty table gives no rows.  Tables in between go to
+    ``scratch``, which may be cleared once the result has been written.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(df.sparkSession, "jaccard")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    counts = _bucket_counts(docs, words)
-    profiles = scratch.table(_profiles(docs, words, percent, counts))
+    profiles = scratch.table(_profiles(docs, words, percent))
     reps = scratch.table(profiles.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id")))
-
-    rare = profiles.select("fp", "n", F.posexplode("rare").alias("i", "token"))
-    order = F.shiftleft(F.col("i").cast("long"), 40).bitwiseOR(F.shiftrightunsigned("fp", 24))
-    leaders = (
-        rare.groupBy("token")
-        .agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", order).alias("l_fp"), F.min_by("n", order).alias("l_n"), F.min_by("i", order).alias("l_i"))
-        .where("lo <> hi")
-        .drop("lo", "hi")
-    )
-    leaders = scratch.table(leaders)
-    shared = scratch.table(rare.join(leaders, "token"))
-    nearest = F.col("i").cast("long") + F.col("l_i")
+    # a set that several tasks list has its sketch once
+    sketches = scratch.table(profiles.where("sketch is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    # size and place in one number: most of what is shuffled here is dropped right after
+    rare = profiles.select("fp", "n", F.posexplode("rare").alias("i", "token")).select("token", "fp", (F.shiftleft("n", 24) + F.col("i")).alias("ni"))
+    several = rare.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token")
+    shared = scratch.table(rare.join(scratch.table(several), "token").select("token", "fp", F.shiftright("ni", 24).alias("n"), F.col("ni").bitwiseAND((1 << 24) - 1).alias("i")))
+    scratch.drop()
+    order = F.shiftleft("i", 40).bitwiseOR(F.shiftrightunsigned("fp", 24))
+    leaders = shared.groupBy("token").agg(F.min_by("fp", order).alias("l_fp"), F.min_by("n", order).alias("l_n"), F.min_by("i", order).alias("l_i"))
+    led = shared.join(scratch.table(leaders), "token")
+    nearest = F.col("i") + F.col("l_i")
     star = (
-        shared.where("fp <> l_fp and " + _fits("", "l_", percent))
+        led.where("fp <> l_fp and " + _fits("", "l_", percent))
         .groupBy(F.col("fp").alias("a"))
         .agg(F.min_by("l_fp", nearest).alias("b"))
     )
-    links = scratch.table(_similar(scratch.table(star), docs, reps, words, percent, scratch))
+    star = scratch.table(_near(star, sketches, percent))
+    links = scratch.table(_similar(star, docs, reps, words, percent, scratch))
     groups = components(scratch, links, "a", "b")
 
-    placed = shared.select("token", "fp", "n", "i").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "i", F.coalesce("component", "fp").alias("g"))
-    placed = scratch.table(placed)
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = scratch.table(groups.join(sizes, "component"))
+    placed = shared.select("token", "fp", "n", "i").join(member, F.col("fp") == F.col("node"), "left")
+    placed = scratch.table(placed.select("token", "fp", "n", "i", F.coalesce("component", "fp").alias("g"), F.coalesce("size", F.lit(1)).alias("size")))
     several = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("i").alias("least")).where("lo <> hi").select("token", "least")
     placed = scratch.table(placed.join(several, "token").where(f"(i + least) * {(100 + percent) * percent} <= n * {(100 + percent) * (100 - percent)}").drop("least"))
-    q = placed.select("token", *(F.col(c).alias(f"q_{c}") for c in ("fp", "n", "i", "g")))
-    m = placed.select("token", *(F.col(c).alias(f"m_{c}") for c in ("fp", "n", "i", "g")))
-    pairs = q.join(m, (q.token == m.token) & F.expr("q_fp > m_fp and q_g <> m_g and " + _fits("q_", "m_", percent)))
-    pairs = scratch.table(pairs.select(F.col("q_fp").alias("a"), F.col("m_fp").alias("b"), F.col("m_g").alias("g")).distinct())
+    scratch.drop(shared)
+    pairs = scratch.table(_openable(placed, sketches, percent, scratch))
+    scratch.drop(placed)
     if pairs.limit(1).count():
         opened = scratch.table(_qualifying(pairs, docs, reps, words, percent, scratch))
         links = scratch.table(links.union(_similar(opened, docs, reps, words, percent, scratch)))
