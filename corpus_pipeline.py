@@ -26,6 +26,19 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 REPEAT_BYTES = 200
 
 
+_scratch: dict[str, Scratch] = {}
+
+
+def _tables(spark: SparkSession, name: str) -> Scratch:
+    """A stage's scratch tables.  A stage's result is written before the next one begins, so
+    what the stage before left in the same application goes first."""
+    app = spark.sparkContext.applicationId
+    if app in _scratch:
+        _scratch.pop(app).clear()
+    _scratch[app] = Scratch(spark, name)
+    return _scratch[app]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language.  Null texts, texts without letters and those whose pooled
     probability stays below ``LEAST_SCORE`` are rejected; where no language could be
@@ -42,8 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each group of near duplicates.  Of repeated rows
     of one id one stays."""
     ship(spark)
-    scratch = Scratch(spark, "stage")
-    groups = ngram_jaccard_join(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
+    scratch = _tables(spark, "near")
+    groups = ngram_jaccard_join(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT, scratch=scratch)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows"))
     kept = scratch.table(kept)
     out = docs.join(small_side(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")))
@@ -58,7 +71,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     through go whole; a document of which only blanks are left goes."""
     ship(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, length=REPEAT_BYTES, carry=others)
+    cut = remove_repeats(docs, length=REPEAT_BYTES, carry=others, scratch=_tables(spark, "repeats"))
     text = F.col("kept").cast("string")
     text = F.when(F.size("removed") > 0, F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))).otherwise(text)
     cut = cut.where((F.size("removed") == 0) | text.rlike(r"\S"))

@@ -35,13 +35,10 @@ from tilespark.llm.bpe import slices, texts_of
 from tilespark.llm.common import Scratch
 from tilespark.llm.hashing import U, grams, mix, prefix, repeated, spans
 
-#: What is known per document is broadcast to the scan up to so many integers in all (8
-#: bytes each); beyond it the texts are shuffled to it.
-BROADCAST_VALUES = 4_000_000
 #: Anchors that a task holds back so as to settle repeats among them.
-TASK_ANCHORS = 2_000_000
-#: Bytes of contexts that are suffix-sorted at once.
-SORT_BYTES = 4 << 20
+TASK_ANCHORS = 1_000_000
+#: Bytes of text whose anchors are sought at once, and of contexts suffix-sorted at once.
+SCAN_BYTES, SORT_BYTES = 1 << 19, 1 << 20
 
 #: Rows on their way to ``_meeting``: seen once in the task; known to repeat; stands for
 #: those of the task that are known to.
@@ -127,94 +124,61 @@ def windows_in_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     return bucket[starts]
 
 
-def _rows(keys, docs, values, marks, id_names=("key", "doc", "value", "mark")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), docs, pa.array(values, pa.int64()), pa.array(marks, pa.int8())], names=list(id_names))
-
-
-def _settle(keys: np.ndarray, docs: np.ndarray, values: np.ndarray, twice: np.ndarray):
+def _settle(keys: np.ndarray, columns: dict[str, np.ndarray], twice: np.ndarray):
     """The rows of one task for ``_meeting``: ``twice`` says which keys repeat in it."""
-    known = np.flatnonzero(twice)
-    once = np.flatnonzero(~twice)
+    known, once = np.flatnonzero(twice), np.flatnonzero(~twice)
     stands = np.sort(keys[known])
     stands = stands[np.concatenate([[True], stands[1:] != stands[:-1]])] if len(stands) else stands
-    spread = mix(docs[known].view(U) + values[known].astype(U) * U(0x9E3779B97F4A7C15))
-    key = np.concatenate([keys[once], spread, stands])
-    doc = pa.concat_arrays([pa.array(docs[once]), pa.array(docs[known]), pa.nulls(len(stands), pa.int64())])
-    value = np.concatenate([values[once], values[known], np.zeros(len(stands), np.int64)])
-    mark = np.concatenate([np.full(len(once), ONCE), np.full(len(known), KNOWN), np.full(len(stands), STANDS)]).astype(np.int8)
-    for a in range(0, len(key), 200_000):
+    spread = mix(columns["doc"][known].view(U) + columns["value"][known].astype(U) * U(0x9E3779B97F4A7C15))
+    route = np.concatenate([keys[once], spread, stands]).view(np.int64)
+    mark = np.repeat(np.array([ONCE, KNOWN, STANDS], np.int8), [len(once), len(known), len(stands)])
+    rest = {k: np.concatenate([v[once], v[known], np.zeros(len(stands), np.int64)]) for k, v in columns.items()}
+    for a in range(0, len(route), 200_000):
         s = slice(a, a + 200_000)
-        yield _rows(key[s], doc.slice(a, 200_000), value[s], mark[s])
-
-
-_SCHEMA = "key long, doc long, value long, mark byte"
+        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, mark, *rest.values())], names=["route", "mark", *rest])
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """(key, doc, value) of the rows that repeat anywhere."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return rows.withColumn("n", n).where(f"doc is not null and (mark = {KNOWN} or n > 1)").select("key", "doc", "value")
+    """The rows that repeat anywhere."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("route"))
+    return rows.withColumn("n", n).where(f"mark = {KNOWN} or mark = {ONCE} and n > 1").drop("n")
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """An anchor's value is its position."""
+    """Each anchor with its context: ``key`` is the hash of the context's bytes, ``value``
+    the first window's start and, in the low byte, how many windows follow it."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def out():
             if held:
-                key, doc, value = (np.concatenate(x) for x in zip(*held))
+                hashes, doc, key, value = (np.concatenate(x) for x in zip(*held))
                 held.clear()
-                yield from _settle(key, doc, value, repeated(key))
+                twice = repeated(hashes)
+                anchor = np.where(twice, hashes, U(0)).view(np.int64)  # elsewhere it is the route
+                yield from _settle(hashes, {"doc": doc, "anchor": anchor, "key": key.view(np.int64), "value": value}, twice)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCAN_BYTES):
                 texts = texts_of(part.column(1))
+                data = np.frombuffer(b"".join(texts), np.uint8)
                 ends = np.cumsum([len(x) for x in texts])
-                at, hashes, _, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+                at, hashes, first, count = anchors(data, ends, length, gram)
                 if not len(at):
                     continue
                 which = np.searchsorted(ends, at, "right")
-                base = np.concatenate([[0], ends])[which]
-                held.append((hashes, np.asarray(part.column(0))[which], at - base))
+                start = first - np.concatenate([[0], ends])[which]
+                key = spans(prefix(data), first, first + count - 1 + length)
+                held.append([hashes, np.asarray(part.column(0))[which], key, start << 8 | count - 1])
                 size += len(at)
                 if size >= TASK_ANCHORS:
                     yield from out()
                     size = 0
         yield from out()
 
-    return docs.mapInArrow(run, _SCHEMA)
-
-
-def _attach(docs: DataFrame, per_doc: DataFrame, values: int) -> DataFrame:
-    return docs.join(F.broadcast(per_doc) if values <= BROADCAST_VALUES else per_doc, "doc")
-
-
-def _context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, key, doc, value) of the contexts of the listed anchors.  A value is the
-    first window's start and, in the low byte, how many follow it."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = texts_of(part.column(1))
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                ends = np.cumsum([len(x) for x in texts])
-                base = np.concatenate([[0], ends[:-1]])
-                listed = part.column(2)
-                per = np.diff(np.asarray(listed.offsets))
-                asked = np.asarray(listed.values)[listed.offsets[0].as_py() : listed.offsets[-1].as_py()] + np.repeat(base, per)
-                at, hashes, first, count = anchors(data, ends, length, gram)
-                keep = np.isin(at, asked)
-                at, hashes, first, count = at[keep], hashes[keep], first[keep], count[keep]
-                which = np.searchsorted(ends, at, "right")
-                keys = spans(prefix(data), first, first + count - 1 + length)
-                doc = np.asarray(part.column(0))[which]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(doc), pa.array((first - base[which]) << 8 | count - 1)], names=["anchor", "key", "doc", "value"])
-
-    return docs.mapInArrow(run, "anchor long, key long, doc long, value long")
+    return docs.mapInArrow(run, "route long, mark byte, doc long, anchor long, key long, value long")
 
 
 def _window_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -239,7 +203,7 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
             keys = spans(prefix(data), starts, starts + length)
             held.clear()
             firsts.clear()
-            yield from _settle(keys, np.repeat(doc, count), np.repeat(first, count) + step, twice)
+            yield from _settle(keys, {"doc": np.repeat(doc, count), "value": np.repeat(first, count) + step}, twice)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -254,48 +218,54 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
                         size = 0
         yield from out()
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(run, "route long, mark byte, doc long, value long")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, gram: int = 128, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, gram: int = 128, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """(id, n_bytes, kept, removed) of every row: ``kept`` what is left of the UTF-8 bytes,
     ``removed`` the maximal runs (start, end) that were cut out.
 
     Windows do not cross texts; a text may repeat itself, and a row's exact copy repeats
     all of it.  Repeats are judged on the input, so every occurrence goes.  Null texts
     are empty.  Texts shorter than ``length`` are kept.  Of the other columns those in
-    ``carry`` are passed on, in one column ``rest``; no other is read.
+    ``carry`` are passed on, in one column ``rest``; no other is read.  Tables in between
+    go to ``scratch``, which may be cleared once the result has been written.
     """
     if not 8 <= gram <= length or length - gram >= 255 or length < 128:
         raise ValueError("8 <= gram <= length < gram + 255, and length >= 128")
     spark = df.sparkSession
-    scratch = Scratch(spark, "repeats")
+    scratch = scratch or Scratch(spark, "repeats")
     rest = [F.struct(*(df[c] for c in carry)).alias("rest")] if carry else []
     whole = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *rest)
     # rows that agree in id and text share this; what is found for one holds for the other
     whole = whole.withColumn("doc", F.xxhash64("id", "text"))
     docs = whole.where(F.octet_length("text") >= length).select("doc", "text")
 
-    def per_doc(rows: DataFrame) -> tuple[DataFrame, int]:
-        out = scratch.table(rows.groupBy("doc").agg(F.collect_set("value").alias("values")))
-        return out, out.agg(F.sum(F.size("values") + 8)).first()[0] or 0
+    def per_doc(rows: DataFrame) -> DataFrame:
+        return scratch.table(rows.groupBy("doc").agg(F.collect_set("value").alias("values")))
 
-    shared, n = per_doc(_meeting(_anchor_rows(docs, length, gram)))
-    contexts = scratch.table(_context_rows(_attach(docs, shared, n), length, gram))
+    met = _meeting(_anchor_rows(docs, length, gram))
+    anchor = F.when(F.col("mark") == ONCE, F.col("route")).otherwise(F.col("anchor"))
+    contexts = scratch.table(met.select("doc", anchor.alias("anchor"), "key", "value"))
+    scratch.drop()
     kinds = scratch.table(contexts.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     # one document, and in it one place, stands for all of an equal context
     stands = kinds.join(several, "anchor", "left_semi").select("key", "doc")
     asked = contexts.join(stands, ["key", "doc"]).groupBy("key", "doc").agg(F.min("value").alias("value"))
-    listed, n = per_doc(asked)
-    windows = _meeting(_window_rows(_attach(docs, listed, n), length))
+    # the texts are shuffled to what is known of them, whatever its size
+    listed = per_doc(asked)
+    scratch.drop()
+    windows = scratch.table(_meeting(_window_rows(docs.join(listed.hint("merge"), "doc"), length)).select("doc", "value"))
+    scratch.drop(listed)
 
     # strings that start in one stretch of 128 bytes overlap, so their union is one run
     again = contexts.join(kinds.where("n > 1").select("key"), "key")
     again = again.select("doc", F.shiftright("value", 8).alias("start"), F.expr(f"shiftright(value, 8) + (value & 255) + {length}").alias("end"))
     covered = again.union(windows.select("doc", F.col("value").alias("start"), (F.col("value") + length).alias("end")))
     covered = covered.groupBy("doc", F.shiftright("start", 7).alias("stretch")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    found, n = per_doc(covered.select("doc", F.expr("shiftleft(start, 16) | (end - start)").alias("value")))
+    found = per_doc(covered.select("doc", F.expr("shiftleft(start, 16) | (end - start)").alias("value")))
+    scratch.drop(contexts, kinds, windows)
 
     def run(batches):
         for batch in batches:
@@ -321,8 +291,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=schema.names,
                 )
 
-    side = F.broadcast(found) if n <= BROADCAST_VALUES else found
-    last = whole.join(side, "doc", "left").select("id", "text", "values", *(["rest"] if carry else []))
+    last = whole.join(found.hint("merge"), "doc", "left").select("id", "text", "values", *(["rest"] if carry else []))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("id", whole.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", span), *([whole.schema["rest"]] if carry else [])])
     return last.mapInArrow(run, schema).withColumnRenamed("id", id_col)
