@@ -28,6 +28,8 @@ from tilespark.llm.common import Scratch
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Rotated coordinates whose partial sums are taken first: this share of the length.
 HEAD = 0.25
+#: Share of pairs left from which all of a block are scored at once.
+DENSE = 0.05
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -113,22 +115,28 @@ def meet(queries: np.ndarray, q_ids: np.ndarray, least: np.ndarray, vectors: np.
     for a in range(0, len(alive), 128):
         rows = alive[a : a + 128]
         part = slice(a, a + 128)
-        partial = q_rot[part, :head] @ v_rot[:, :head].T
-        bound = partial + np.outer(q_rest[part], v_rest)
         floor = least[rows] - slack[rows]
         own = q_ids[rows][:, None] == v_ids[None, :]
-        # the k-th largest lower bound is reached too
-        lower = np.where(own, -np.inf, partial - np.outer(q_rest[part], v_rest))
-        if lower.shape[1] > k:
-            kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
-            floor = np.maximum(floor, kth - slack[rows])
-        i, j = np.nonzero((bound >= floor[:, None]) & ~own)
-        score = np.einsum("ij,ij->i", queries[rows[i]], vectors[j])
-        # k best of each query in this block
-        best = np.lexsort((order[j], -score, i))
+        if np.isfinite(floor).any():
+            bound = q_rot[part, :head] @ v_rot[:, :head].T
+            bound += np.outer(q_rest[part], v_rest)
+            left = bound >= floor[:, None]
+        else:
+            left = np.ones(own.shape, bool)
+        left &= ~own
+        if left.mean() > DENSE:  # one product of matrices costs less than many of pairs
+            score = np.where(left, queries[rows] @ vectors.T, -np.inf)
+            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(rows), -np.inf)
+            i, j = np.nonzero((score >= np.maximum(kth, least[rows])[:, None]) & left)
+            score = score[i, j]
+        else:
+            i, j = np.nonzero(left)
+            score = np.einsum("ij,ij->i", queries[rows[i]], vectors[j])
+            good = score >= least[rows[i]]
+            i, j, score = i[good], j[good], score[good]
+        best = np.lexsort((order[j], -score, i))  # k best of each query in this block
         i, j, score = i[best], j[best], score[best]
-        first = np.searchsorted(i, np.arange(len(rows)))
-        keep = (np.arange(len(i)) - first[i] < k) & (score >= least[rows[i]])
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rows)))[i] < k
         out_q.append(rows[i[keep]])
         out_v.append(j[keep])
         out_s.append(score[keep])
