@@ -64,17 +64,21 @@ def _spans(text: Column, pattern: str, kind: int, group: int | None = None, leas
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
-def _tail(z: Column) -> Column:
-    """Upper tail of the normal distribution for z >= 0 (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) * 0.3989422804014327 * poly
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is written, planned and computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _p(z: Column, two_sided: bool) -> Column:
-    up = _tail(F.abs(z))
-    p = 2 * up if two_sided else F.when(z >= 0, up).otherwise(1 - up)
-    return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p))
+def _log_p(z: Column, two_sided: bool) -> Column:
+    """Logarithm of the p-value of a normal z (Abramowitz and Stegun 26.2.17)."""
+
+    def of(v: Column, t: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        up = F.exp(-v * v / 2) * 0.3989422804014327 * poly
+        p = 2 * up if two_sided else F.when(v >= 0, up).otherwise(1 - up)
+        return F.log(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p)))
+
+    return _let(z, lambda v: _let(1 / (1 + 0.2316419 * F.abs(v)), lambda t: of(v, t)))
 
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -108,9 +112,9 @@ def p_value(token: Column) -> Column:
     def of(x):  # x: chars, alphabet
         chars, alphabet = x["chars"], x["alphabet"]
         n, k = F.size(chars).cast("double"), F.length(alphabet).cast("double")
+        df = k - 1
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        chi, df = squares * k / n - n, k - 1
-        z1 = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z1 = (F.pow(F.greatest(squares * k / n - n, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         # places in the alphabet, from 0; sums over neighbours in one pass
         zero = F.lit(0.0)
         start = F.struct(F.lit(-1.0).alias("v"), zero.alias("s"), zero.alias("q"), zero.alias("c"), zero.alias("runs"), zero.alias("high"), zero.alias("first"))
@@ -129,18 +133,20 @@ def p_value(token: Column) -> Column:
                 F.when(begins, v).otherwise(a["first"]).alias("first"),
             )
 
-        def finish(a):
-            m = a["s"] / n
-            var = a["q"] - n * m * m
+        def correlation(a, m, var):
             # sum over neighbours of (v_i - m)(v_(i+1) - m)
             lag = a["c"] - m * (a["s"] - a["v"]) - m * (a["s"] - a["first"]) + (n - 1) * m * m
-            z3 = F.when(var <= 0, F.lit(30.0)).otherwise((lag / var + 1 / n) * F.sqrt(n))
-            hi, lo = a["high"], n - a["high"]
-            mean = 2 * hi * lo / n + 1
-            spread = 2 * hi * lo * (2 * hi * lo - n) / (n * n * (n - 1))
-            z2 = F.when(spread <= 0, F.lit(30.0)).otherwise((a["runs"] - mean) / F.sqrt(spread))
-            half = -(F.log(_p(z1, False)) + F.log(_p(z2, True)) + F.log(_p(z3, True)))
-            fisher = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared of 6 degrees
+            return F.when(var <= 0, F.lit(30.0)).otherwise((lag / var + 1 / n) * F.sqrt(n))
+
+        def runs(a, both):  # both: twice the product of how many are in either half
+            spread = both * (both - n) / (n * n * (n - 1))
+            return F.when(spread <= 0, F.lit(30.0)).otherwise((a["runs"] - both / n - 1) / F.sqrt(spread))
+
+        def finish(a):
+            z3 = _let(a["s"] / n, lambda m: _let(a["q"] - n * m * m, lambda var: correlation(a, m, var)))
+            z2 = _let(2 * a["high"] * (n - a["high"]), lambda both: runs(a, both))
+            half = -(_log_p(z1, False) + _log_p(z2, True) + _log_p(z3, True))
+            fisher = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared of 6 degrees
             return F.when(n * F.log2(k) >= LEAST_BITS, F.greatest(F.lit(1e-300), F.least(F.lit(1.0), fisher)))
 
         return F.aggregate(chars, start, step, finish)
