@@ -59,7 +59,7 @@ class Network:
         steps, lanes = data.shape
         h_size = self.c.shape[1]
         rows = self.x.reshape(512, 3 * h_size)
-        both = np.stack([data, data[::-1].astype(np.int64) + 256], axis=1) if data.dtype != np.uint8 else np.stack([data.astype(np.int64), data[::-1].astype(np.int64) + 256], axis=1)
+        both = np.stack([data.astype(np.int64), data[::-1].astype(np.int64) + 256], axis=1)
         h = np.zeros((2, lanes, h_size), np.float32)
         out = np.empty((steps, 2, lanes, h_size), np.float32)
         for t in range(steps):
