@@ -261,9 +261,16 @@ def tile_overlap_join(spark, sf_dir):
 
 @query(f"WITH b AS ({_BOX}) SELECT event_id, p_partkey FROM b, part WHERE event_id % 97 = 0 AND y1 > y0 AND x1 > x0 AND p_partkey % 60 < y1 AND p_partkey % 60 + p_size % 12 > y0 AND p_partkey % 90 < x1 AND p_partkey % 90 + 7 > x0 AND p_size % 12 > 0")
 def subblock_overlap(spark, sf_dir):
+    """Overlaps of every 97th box only; ``subblock_overlap_all`` has those of all boxes."""
+    return subblock_overlap_all(spark, sf_dir).where("event_id % 97 = 0")
+
+
+@query(f"WITH b AS ({_BOX}) SELECT event_id, p_partkey FROM b, part WHERE y1 > y0 AND x1 > x0 AND p_partkey % 60 < y1 AND p_partkey % 60 + p_size % 12 > y0 AND p_partkey % 90 < x1 AND p_partkey % 90 + 7 > x0 AND p_size % 12 > 0")
+def subblock_overlap_all(spark, sf_dir):
+    """Overlaps of all boxes; their number grows with events times parts."""
     p = F.col("p_partkey")
     blocks = table(spark, sf_dir, "part").select("p_partkey", (p % 60).alias("by0"), (p % 90).alias("bx0"), (F.col("p_size") % 12).alias("bh"), F.lit(7).alias("bw"), F.lit(0).alias("k"))
-    boxes = _boxes(spark, sf_dir).where("event_id % 97 = 0").withColumn("k", F.lit(0))
+    boxes = _boxes(spark, sf_dir).withColumn("k", F.lit(0))
     return pyramid.subblock_overlaps(boxes, blocks, ["k"], 16).select("event_id", "p_partkey")
 
 
