@@ -59,3 +59,10 @@ def test_table(spark, sf_dir):
         assert r.digest == digest(docs[r.doc_id])
         if "Released under the MIT License." in (docs[r.doc_id] or "").split("\n"):
             assert "MIT" in r.notices.split(",")
+
+
+def test_every_notice(spark):
+    lines = [(k, p.format(n)) for k, names in licenses.NAMES.items() for n in (*names, k) for p in licenses.PHRASES]
+    df = spark.createDataFrame(lines, "want string, text string")
+    missed = [r.text for r in licenses.scan_licenses(df).collect() if list(r.notices) != [r.want]]
+    assert missed == []

@@ -9,6 +9,8 @@ and are looked up for each line of a document.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,8 @@ NAMES = {
     "Unlicense": ("Unlicense",),
 }
 PHRASES = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This file is licensed under the {}.", "Distributed under the {}.", "SPDX-License-Identifier: {}")
+#: How the lines that may be notices begin, in canonical form: the first words of the phrases.
+NOTICE_START = "^(?:" + "|".join(sorted({re.match("[a-z]+", p.lower()).group() for p in PHRASES})) + r")\b"
 
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -150,8 +154,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     table = F.create_map(*(F.lit(x) for kv in sorted(lines.items()) for x in kv))
     src = df.drop("digest", "license", "notices").withColumn("__canon", canonical(F.coalesce(df[text_col], F.lit(""))))
     one = whole(F.col("__canon"))
-    # a notice names a licence; only lines that do are spelled out and digested
-    named = F.filter(F.split("__canon", "\n", -1), lambda x: x.rlike(r"licen[cs]e|universal"))
+    # only lines that begin as a known notice does are spelled out and digested
+    named = F.filter(F.split("__canon", "\n", -1), lambda x: x.rlike(NOTICE_START))
     hits = F.transform(named, lambda x: F.try_element_at(table, F.sha2(whole(x), 256)))
     src = src.withColumns({"digest": F.when(F.col("__canon") != "", F.sha2(one, 256)), "notices": F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())))})
     return src.drop("__canon").join(F.broadcast(texts), "digest", "left")
