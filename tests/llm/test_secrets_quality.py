@@ -144,3 +144,17 @@ def test_learning_finds_the_planted_rule():
     rules = quality.learn(rows)
     assert rules and sum(any(r.covers(x) for r in rules) == y for x, y in rows) > 0.97 * len(rows)
     assert quality.learn([]) == [] and quality.learn([(x, False) for x, _ in rows]) == []
+
+
+def test_values_after_an_equals_sign(spark):
+    rnd = random.Random(11)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = ["AWS_SECRET_ACCESS_KEY=", "SIGNING_KEY=", "https://a.example/x?sig="]
+    values = ["".join(rnd.choice(b64) for _ in range(40)) + "=" * (i % 3) for i in range(60)]
+    texts = [names[i % 3] + v for i, v in enumerate(values)]
+    df = spark.createDataFrame([(i, t, "", 1, 1) for i, t in enumerate(texts)], SCHEMA)
+    whole = {(i, t.index("=") + 1, len(t)) for i, t in enumerate(texts)}
+    got = {(r.doc_id, x.start, x.end) for r in secrets.find_secrets(df).collect() for x in r.spans}
+    assert got <= whole and len(got) >= 54
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert sum(clean[i] == names[i % 3] + "[REDACTED]" for i in clean) >= 54

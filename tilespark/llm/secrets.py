@@ -28,7 +28,8 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: "=" only as padding at the end, so that the value of NAME=VALUE is tested by itself.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,6}"
 #: Least entropy of a candidate in bits, if it is random.
 LEAST_BITS = 80
 #: Bands of length: below 32, 48, 80, and longer.
