@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilespark.llm.bpe import slices, texts_of
 
-#: Labelled rows that the network learns from, at most, of each language and in all.
-ROWS_PER_LANGUAGE, LEARNING_ROWS = 400, 4000
+#: Labelled rows that the network learns from, at most, of each language and in all; but
+#: up to ``LEAST_ROWS`` of each language, however many languages there are.
+ROWS_PER_LANGUAGE, LEARNING_ROWS, LEAST_ROWS = 400, 4000, 10
 STRIP, HIDDEN = 64, 8
 #: Strips that are read side by side.
 LANES = 2048
@@ -202,26 +203,22 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, held_out) -> list[tuple[bytes, str]]:
-    """At most ``ROWS_PER_LANGUAGE`` rows of each language and ``LEARNING_ROWS`` in all,
-    spread over the whole table by a hash of the id."""
+    """The same number of rows of each language (all, of one that has fewer), spread over
+    the whole table by a hash of the id."""
     src = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull() & ~held_out)
     src = src.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
-    counts = sorted((-r["n"], r["lang"]) for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect())
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    share = None
-    for n, lang in counts:
-        want = F.lit(min(1.0, 1.5 * ROWS_PER_LANGUAGE / -n))
-        share = F.when(F.col("lang") == lang, want) if share is None else share.when(F.col("lang") == lang, want)
-    if share is None:
+    counts = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
         return []
-    rows = src.where(place < share).orderBy(place, "id", "text").limit(LEARNING_ROWS).collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= ROWS_PER_LANGUAGE:
-            out.append((r["text"].encode(), r["lang"]))
-    return out
+    quota = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, LEARNING_ROWS // len(counts)))
+    # a share of each language that is some deviations above the quota keeps the windows small
+    shares = [(r["lang"], min(1.0, (quota + 4 * quota**0.5 + 8) / r["n"])) for r in counts]
+    shares = df.sparkSession.createDataFrame(shares, "lang string, share double")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    near = src.join(F.broadcast(shares), "lang").withColumn("place", place).where("place < share")
+    order = Window.partitionBy("lang").orderBy("place", "id", "text")
+    rows = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota).select("lang", "text", "place", "nth").collect()
+    return [(r["text"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["place"], r["lang"], r["nth"]))]
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=None) -> Network | None:
