@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+from pathlib import Path
+
+import pytest
 
 from tilespark.llm import licenses, queries
 
@@ -66,3 +69,19 @@ def test_every_notice(spark):
     df = spark.createDataFrame(lines, "want string, text string")
     missed = [r.text for r in licenses.scan_licenses(df).collect() if list(r.notices) != [r.want]]
     assert missed == []
+
+
+def test_long_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("no licence texts here")
+    rows = [(k, (folder / f).read_text()) for k, f in files.items()] + [("Apache-2.0", (folder / "Apache-2.0").read_text().split("   APPENDIX:")[0])]
+    df = spark.createDataFrame(rows, "want string, text string")
+    assert [r.want for r in licenses.scan_licenses(df).collect() if r.license != r.want] == []
+
+
+def test_unlicense(spark):
+    text = licenses.LICENCES["Unlicense"]
+    df = spark.createDataFrame([(t,) for t in (text, "The Unlicense\n\n" + text, text.replace("http:", "https:"))], "text string")
+    assert [r.license for r in licenses.scan_licenses(df).collect()] == ["Unlicense"] * 3

@@ -74,6 +74,30 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""
 LICENCES = {
     "MIT": _MIT,
     "MIT-0": _MIT_GRANT.replace(", subject to the following conditions:", ".") + "\n" + _MIT_WARRANTY,
@@ -82,9 +106,25 @@ LICENCES = {
     "BSD-2-Clause": f"{_BSD}\n{_BSD_WARRANTY}",
     "BSD-3-Clause": f"{_BSD}\n{_BSD_NAMES}\n{_BSD_WARRANTY}",
     "Zlib": _ZLIB,
+    "Unlicense": _UNLICENSE,
 }
+#: Canonical digests of long licences, from the editions in Debian's /usr/share/common-licenses:
+#: as they stand there, and without the appendix, exhibits or heading.
+DIGESTS = (
+    ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),
+    ("e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca", "Apache-2.0"),
+    ("5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a", "GPL-2.0"),
+    ("5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", "GPL-2.0"),
+    ("88c8e3c4ca10e9f8a2b9a6f92814755437dfa8ef19b34d25a003d9a098b3c105", "GPL-3.0"),
+    ("ed1c85858baf2b42a8ed0fc28f7a7e9e23af7d85338ae49fcc5b66d156f86489", "GPL-3.0"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", "MPL-2.0"),
+    ("2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04", "MPL-2.0"),
+    ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+    ("a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32", "CC0-1.0"),
+)
 #: Titles that may stand above a licence.
-TITLES = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+TITLES = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "Unlicense": "The Unlicense"}
 #: Names that notices use.
 NAMES = {
     "MIT": ("MIT License", "MIT Licence"),
@@ -132,13 +172,14 @@ def whole(canon: Column) -> Column:
 def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(digest, license) of whole licence texts, and of one-line notices; some hundred rows,
     whatever the input."""
-    texts = [(k, t) for k, v in LICENCES.items() for t in (v, f"{TITLES[k]}\n{v}")]
+    texts = [(k, t) for k, v in LICENCES.items() for u in (v, v.replace("http://", "https://")) for t in (u, f"{TITLES[k]}\n{u}")]
     notices = [(k, p.format(n)) for k, names in NAMES.items() for n in (*names, k) for p in PHRASES]
     out = []
     for rows in (texts, notices):
         df = spark.createDataFrame(rows, "license string, text string")
         out.append(df.select(F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"), "license").dropDuplicates(["digest"]))
-    return out[0], out[1]
+    long = spark.createDataFrame(DIGESTS, "digest string, license string")
+    return out[0].union(long), out[1]
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
