@@ -66,9 +66,20 @@ def list_codecs(spark, sf_dir):
 
 @query(f"SELECT name FROM (VALUES {_values([(c[0], c[3]) for c in _CATALOGUE])}) t(name, encode) WHERE encode")
 def has_codec_op(spark, sf_dir):
+    """What the catalogue claims; ``has_codec_backend_op`` has what can be encoded here."""
     return registry.list_codecs(spark).where("encode").select("name")
 
 
+_BACKENDS = [(c.name, c.can_encode, c.encode is not None) for c in registry.CODECS]
+
+
+@query(f"SELECT name, encode FROM (VALUES {_values(_BACKENDS)}) t(name, encode, backend) WHERE encode AND backend")
+def has_codec_backend_op(spark, sf_dir):
+    """Codecs that encode here, with the catalogue's flag."""
+    here = [c.name for c in registry.CODECS if registry.has_codec(c.name, "encode")]
+    return registry.list_codecs(spark).where(F.col("name").isin(here)).select("name", "encode")
+
+
 _SUFFIXES = [".zst", ".PNG", ".jpg", ".tif", ".czi", ".unknown", ".Jp2", ".btf", "", ".lz4"]
 _BY_SUFFIX = {e: next((c.name for c in registry.CODECS if e.lower() in c.extensions), None) for e in _SUFFIXES}
 
