@@ -128,3 +128,45 @@ def test_sketches_never_rule_out_similar_sets():
                 b = similarity.distinct(np.concatenate([a[extra:], rnd.integers(0, 1 << 63, extra).astype(np.uint64)]))
                 apart = 2 * extra
                 assert similarity.differing(similarity.sketch(a, percent), similarity.sketch(b, percent)) <= apart
+
+
+def test_overlaps_and_joining_edges():
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        x, y = ([np.unique(rnd.integers(0, 60, rnd.integers(1, 30))) for _ in range(n)] for n in rnd.integers(1, 9, 2))
+        got, union = similarity.overlaps(x, y, 60), set(np.concatenate(y).tolist())
+        for i, a in enumerate(x):
+            opened = len(set(a.tolist()) & union) * 100 >= 60 * len(a)
+            assert got[i].tolist() == [len(np.intersect1d(a, b)) if opened else 0 for b in y]
+    a, b = np.array([1, 2, 3, 1, 9, 3]), np.array([2, 3, 1, 3, 8, 9])
+    assert similarity.joining(a, b) == [0, 1, 4, 5]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_a_family_gives_links_in_proportion(spark, monkeypatch, percent):
+    """Near copies, many of them just below the similarity: what the comparisons return grows
+    with the family, not with its pairs."""
+    made = []
+    kept = similarity._links
+
+    def counted(*args):
+        out = kept(*args)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "_links", counted)
+    monkeypatch.setattr(similarity, "GROUP_BLOCK", 16)
+    rnd = random.Random(6)
+    base = [rnd.randrange(5000) for _ in range(120)]
+    for n in (60, 120):
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for k in rnd.sample(range(len(w)), rnd.randint(2, 4)):
+                w[k] = rnd.randrange(5000)
+            texts.append(" ".join(f"w{x}" for x in w))
+        rows = list(enumerate(texts))
+        made.append(0)
+        df = spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA).repartition(3)
+        assert run(df, words=3, percent=percent) == brute(rows, 3, percent)
+        assert made[-1] <= 3 * n

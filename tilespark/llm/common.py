@@ -3,10 +3,14 @@ broadcast side is measured first, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +19,48 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of ``taken`` has."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let_go() -> None:
+    """Gives freed memory of a Python worker back; workers outlive the stage they began in."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return wrapped
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.  Only where it is unset (tests on one
-    machine) a temporary folder is taken and set."""
+    """``spark.checkpoint.dir`` of the session.  Only where it is unset and Spark runs on
+    one machine (tests) a temporary folder is taken and set; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -29,7 +68,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut there and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation.  What is left of them goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -41,6 +80,9 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         schema = df.schema
         df.write.parquet(path)
+        if self.n == 1:
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -16,12 +16,16 @@ in each range, and every range whose sums differ holds a shingle that only one s
 
 1. Count the shingles' hash buckets (a table of fixed size, whatever the corpus).
 2. Write each document's size, set fingerprint, rare shingles and sketch.
-3. Group: for each rare shingle the document that has it earliest leads; each document is
-   compared with its nearest leader.  Linked ones are a group (a connected component).
-4. Documents that share a rare shingle with a larger group are queries against it: one
-   row for the whole group, whose members' sketches come in blocks.  Sketches and the
-   matrix's bound decide, then the members left are compared exactly.
-5. Components of all links, labelled with their smallest id.
+3. Group: for each rare shingle the document that has it earliest leads, and each document
+   is compared with its nearest leader.  Linked ones are a component; a document that its
+   leader is not similar to follows it into the group all the same.
+4. Queries: what follows in a group, against the group; and documents that share a rare
+   shingle with a larger group, one row for the whole group, against that.
+5. Queries and members of a group meet in blocks.  Sketches tell first whose shingles are
+   needed at all; then the matrix's bound opens blocks, and one product of matrices gives
+   all overlaps in them.  A meeting returns the links that join what was apart, fewer than
+   it has documents, never its pairs.
+6. Components of all links, labelled with their smallest id.
 
 Nothing is counted in pairs of copies: equal sets share a fingerprint and are one node.
 """
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilespark.llm.bpe import slices, texts_of
-from tilespark.llm.common import Scratch, components, small_side
+from tilespark.llm.common import Scratch, components, small_side, tidy
 from tilespark.llm.hashing import U, mix, prefix, spans
 
 #: Hash buckets whose counts order the shingles: 2 ** this.
@@ -46,8 +50,10 @@ PIECE_BITS, COUNT_AT_ONCE = 18, 1_500_000
 SEEN_SETS = 300_000
 #: Bytes of text that are shingled at once.
 SHINGLE_BYTES = 1 << 19
-#: Members of a group that are compared with a query at once.
-GROUP_BLOCK = 256
+#: Documents of a group in a block, and their shingles, about.
+GROUP_BLOCK, BLOCK_TOKENS = 128, 1 << 15
+#: Partitions whose bucket counts are added up before all meet.
+MERGED_AT_ONCE = 256
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -132,10 +138,67 @@ def sketch(tokens: np.ndarray, percent: int) -> bytes:
 
 def differing(x: bytes, y: bytes) -> int:
     """Ranges in which two sketches differ, after the finer one is folded."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    n = min(len(a), len(b))
-    a, b = (v.reshape(n, -1).sum(1, dtype=np.uint8) for v in (a, b))
-    return int((a != b).sum())
+    return int(differences([x], [y])[0, 0])
+
+
+def differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """:func:`differing` of each of x and each of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    by_size = [{n: np.flatnonzero([len(v) == n for v in side]) for n in {len(v) for v in side}} for side in (x, y)]
+    for nx, i in by_size[0].items():
+        for ny, j in by_size[1].items():
+            n = min(nx, ny)
+            a, b = (np.frombuffer(b"".join(side[k] for k in at), np.uint8).reshape(len(at), n, -1).sum(2, dtype=np.uint8) for side, at in ((x, i), (y, j)))
+            step = max(1, (1 << 22) // (len(j) * n))
+            for k in range(0, len(i), step):
+                out[np.ix_(i[k : k + step], j)] = (a[k : k + step, None] != b[None]).sum(2)
+    return out
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """(x, y): how many tokens two sets share; 0 throughout for an x whose overlap with the
+    union of all of y is too small for any."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    sizes = np.array([len(v) for v in x])
+    flat, own = np.concatenate(x), np.repeat(np.arange(len(x)), sizes)
+    other, theirs = np.concatenate(y), np.repeat(np.arange(len(y)), [len(v) for v in y])
+    inside = np.isin(flat, other)
+    opened = np.bincount(own[inside], minlength=len(x)) * 100 >= sizes * percent
+    keep = inside & opened[own]
+    tokens, column = np.unique(flat[keep], return_inverse=True)
+    own = own[keep]
+    if not len(tokens):
+        return out
+    at = np.minimum(np.searchsorted(tokens, other), len(tokens) - 1)
+    known = tokens[at] == other
+    at, theirs = at[known], theirs[known]
+    width = max(1, (1 << 20) // max(len(x), len(y)))
+    for a in range(0, len(tokens), width):
+        left, right = (np.zeros((len(side), min(width, len(tokens) - a)), np.float32) for side in (x, y))
+        for m, rows, cols in ((left, own, column), (right, theirs, at)):
+            some = (cols >= a) & (cols < a + width)
+            m[rows[some], cols[some] - a] = 1
+        out += (left @ right.T).astype(np.int64)
+    return out
+
+
+def joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the edges (a, b) join what the ones before left apart."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
 
 
 def _bucket_ranks(docs: DataFrame, words: int) -> np.ndarray:
@@ -172,17 +235,30 @@ def _bucket_ranks(docs: DataFrame, words: int) -> np.ndarray:
         if size:
             yield out()
 
-    def add(batches):
+    def added(batches) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = np.frombuffer(pa.decompress(packed, piece * 4, "zstd", asbytes=True), np.uint32)
-                total[k] = total[k] + part if k in total else part.astype(np.int64)
-        ranks = [np.rint(np.log2(1.0 + v) * 6).astype(np.uint8).tobytes() for v in total.values()]
+                if k not in total:
+                    total[k] = np.zeros(piece, np.uint64)
+                total[k] += part
+        return total
+
+    def add(batches):
+        total = {k: np.minimum(v, 2**32 - 1).astype(np.uint32) for k, v in added(batches).items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True) for v in total.values()], pa.binary())], names=["piece", "counts"])
+
+    def rank(batches):
+        total = added(batches)
+        ranks = [np.rint(np.log2(1.0 + v.astype(np.float64)) * 6).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["piece", "counts"])
 
+    # what neighbouring partitions have counted is added up before all of a piece meets
     schema = "piece int, counts binary"
-    found = docs.select("text").mapInArrow(count, schema).repartition(1 << BUCKET_BITS - PIECE_BITS, "piece").mapInArrow(add, schema)
+    some = F.floor(F.spark_partition_id() / MERGED_AT_ONCE)
+    found = docs.select("text").mapInArrow(tidy(count), schema).withColumn("some", some).repartition("piece", "some").select("piece", "counts")
+    found = found.mapInArrow(tidy(add), schema).repartition(1 << BUCKET_BITS - PIECE_BITS, "piece").mapInArrow(tidy(rank), schema)
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in found.collect():
         out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.uint8)
@@ -218,7 +294,7 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "fp", "rare", "sketch"])
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _sets(docs: DataFrame, want: DataFrame, words: int) -> DataFrame:
@@ -236,7 +312,7 @@ def _sets(docs: DataFrame, want: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "tokens"])
 
     texts = docs.join(small_side(want.select("id", "fp")), "id").select("id", "text", "fp")
-    return texts.mapInArrow(run, "fp long, tokens array<long>")
+    return texts.mapInArrow(tidy(run), "fp long, tokens array<long>")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -247,79 +323,80 @@ def _fits(a: str, b: str, percent: int) -> str:
     )
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, ...) whose sketches do not rule them out."""
+def _meetings(queries: DataFrame, members: DataFrame, data: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each block of a group's queries and block of its members: g and, of either
+    side, the lists fp, c (its component so far), n and data.
 
-    def run(batches):
-        for batch in batches:
-            x, y, n = (batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))
-            keep = [differing(p, q) * (100 + percent) <= m * (100 - percent) for p, q, m in zip(x, y, n)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:-3]], names=batch.schema.names[:-3])
+    Both sides are (g, fp, c, w), w a document's weight; ``data`` is (fp, n, data).  The
+    number of blocks follows from a group's counts, so a row stays small however large a
+    group is, and the blocks of a group are dealt over all tasks.
+    """
 
-    a, b = (sketches.select(F.col("fp").alias(k), F.col("sketch").alias(f"s_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n"))
-    return both.mapInArrow(run, pairs.schema)
+    def count(side: DataFrame, name: str) -> DataFrame:
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("w") / BLOCK_TOKENS))
+        return side.groupBy("g").agg(blocks.cast("int").alias(name))
 
+    sizes = scratch.table(count(queries, "nq").join(count(members, "nm"), "g"))
+    sized = small_side(sizes)
 
-def _openable(placed: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b, g): queries and the members of other groups that their sketches let pass.
+    def blocks(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        rows = side.join(sized, "g").join(data, "fp")
+        rows = rows.groupBy("g", F.pmod(F.xxhash64("fp"), F.col(f"n{own}")).cast("int").alias(own)).agg(F.first(f"n{other}").alias("across"), F.collect_list(F.struct("fp", "c", "n", "data")).alias("x"))
+        return rows.select("g", own, F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias(other), *(F.col(f"x.{c}").alias(f"{name}_{c}") for c in ("fp", "c", "n", "data")))
 
-    ``placed`` has (token, fp, n, i, g, size).  A group is one row for each token, so a
-    query meets a group once however many members share the token.  Of two groups the
-    members of the smaller one are the queries.
-    """
-    q = placed.select("token", *(F.col(c).alias(f"q_{c}") for c in ("fp", "n", "i", "g", "size")))
-    matrix = placed.groupBy("token", "g", "size").agg(F.min("i").alias("i"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = q.join(matrix, "token").where(
-        f"(q_size < size or q_size = size and q_g < g) and q_n * 100 >= lo * {percent} and hi * 100 >= q_n * {percent}"
-        f" and (q_i + i) * {100 + percent} <= (q_n + least(hi, q_n * 100 div {percent})) * {100 - percent}"
-    )
-    met = scratch.table(met.select(F.col("q_fp").alias("a"), "g").distinct())
-    members = placed.select("fp", "g", "size").distinct().join(met.select("g").distinct(), "g", "left_semi").join(sketches, "fp")
-    block = F.pmod(F.xxhash64("fp"), F.floor((F.col("size") - 1) / GROUP_BLOCK) + 1)
-    blocks = members.groupBy("g", block.alias("block")).agg(F.collect_list(F.struct("fp", "n", "sketch")).alias("m"))
-    blocks = scratch.table(blocks.select("g", F.col("m.fp").alias("fps"), F.col("m.n").alias("ns"), F.col("m.sketch").alias("sketches")))
-    own = sketches.select(F.col("fp").alias("a"), F.col("n").alias("q_n"), F.col("sketch").alias("q_sketch"))
-    asked = met.join(own, "a").join(blocks, "g").select("a", "g", "q_n", "q_sketch", "fps", "ns", "sketches")
+    met = blocks(queries, "x", "q", "m").join(blocks(members, "y", "m", "q"), ["g", "q", "m"])
+    return met.drop("q", "m")
 
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for a, g, n, x, fps, ns, ys in zip(*(c.to_pylist() for c in batch.columns)):
-                for b, m, y in zip(fps, ns, ys):
-                    if min(n, m) * 100 >= max(n, m) * percent and differing(x, y) * (100 + percent) <= (n + m) * (100 - percent):
-                        out.append((a, b, g))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "g"])
-
-    return asked.mapInArrow(run, "a long, b long, g long")
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) of fingerprints whose sets are similar."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    want = scratch.table(reps.join(nodes, "fp", "left_semi").select("fp", "id"))
-    left = _sets(docs, want.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), words)
-    right = _sets(docs, want.join(pairs.select(F.col("b").alias("fp")).distinct(), "fp", "left_semi"), words)
-    return (
-        pairs.join(left.dropDuplicates(["fp"]).withColumnsRenamed({"fp": "a", "tokens": "x"}), "a")
-        .join(right.dropDuplicates(["fp"]).withColumnsRenamed({"fp": "b", "tokens": "y"}), "b")
-        .withColumn("both", F.size(F.array_intersect("x", "y")))
-        .where(f"both * 100 >= {percent} * (size(x) + size(y) - both)")
-        .select("a", "b")
-    )
+
+def _lists(batch: pa.RecordBatch):
+    """The rows of meetings: g, then numbers as arrays and data as lists."""
+    for k in range(batch.num_rows):
+        row = [c[k] for c in batch.columns]
+        numbers = [np.asarray(v.values) for v in row[1:4] + row[5:8]]
+        yield row[0].as_py(), *numbers[:3], row[4].values, *numbers[3:], row[8].values
 
 
-def _qualifying(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of (a, b, g): query, member, member's group, those whose group the matrix lets be opened."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    want = reps.join(nodes, "fp", "left_semi").select("fp", "id")
-    tokens = scratch.table(_sets(docs, want, words).select("fp", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
-    matrix = pairs.select("g", F.col("b").alias("fp")).distinct().join(tokens, "fp").select("g", "token").distinct()
-    asked = pairs.select("a", "g").distinct().join(tokens, F.col("a") == F.col("fp")).select("a", "g", "n", "token")
-    reach = asked.join(matrix, ["g", "token"]).groupBy("a", "g").agg(F.count(F.lit(1)).alias("reach"), F.min("n").alias("n"))
-    open_ = reach.where(f"reach * 100 >= {percent} * n").select("a", "g")
-    return pairs.join(open_, ["a", "g"], "left_semi").select("a", "b")
+def _links(queries: DataFrame, members: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between components of queries and members of one group that hold similar
+    sets; enough of them to connect whatever such pairs connect."""
+
+    def sketched(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for g, x_fp, x_c, x_n, x, y_fp, y_c, y_n, y in _lists(batch):
+                low, high = np.minimum.outer(x_n, y_n), np.maximum.outer(x_n, y_n)
+                near = (low * 100 >= high * percent) & (x_c[:, None] != y_c[None])
+                if near.any():
+                    near &= differences(x.to_pylist(), y.to_pylist()) * (100 + percent) <= (low + high) * (100 - percent)
+                for query, fp, c, n, some in ((True, x_fp, x_c, x_n, near.any(1)), (False, y_fp, y_c, y_n, near.any(0))):
+                    out += zip([g] * int(some.sum()), fp[some].tolist(), c[some].tolist(), n[some].tolist(), [query] * int(some.sum()))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["g", "fp", "c", "w", "query"])
+
+    def compared(batches):
+        for batch in batches:
+            a, b = [], []
+            for _, _, x_c, x_n, x, _, y_c, y_n, y in _lists(batch):
+                x, y = ([np.asarray(v.values) for v in side] for side in (x, y))
+                both = overlaps(x, y, percent)
+                i, j = np.nonzero((both * 100 >= percent * (np.add.outer(x_n, y_n) - both)) & (x_c[:, None] != y_c[None]))
+                if len(i):
+                    edges = np.unique(np.stack([x_c[i], y_c[j]], 1), axis=0)
+                    edges = edges[joining(*edges.T)]
+                    a.append(edges[:, 0])
+                    b.append(edges[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (a, b)], names=["a", "b"])
+
+    met = _meetings(queries, members, sketches.withColumnRenamed("sketch", "data"), scratch)
+    some = scratch.table(met.mapInArrow(tidy(sketched), "g long, fp long, c long, w long, query boolean").distinct())
+    if not some.limit(1).count():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    want = scratch.table(reps.join(some.select("fp").distinct(), "fp", "left_semi"))
+    sets = scratch.table(_sets(docs, want, words).groupBy("fp").agg(F.first("tokens").alias("data")))
+    met = _meetings(some.where("query"), some.where("not query"), sets.withColumn("n", F.size("data").cast("long")), scratch)
+    edges = scratch.table(met.mapInArrow(tidy(compared), "a long, b long").distinct())
+    scratch.drop(some, want, sets)
+    return edges
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -347,28 +424,39 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.shiftleft("i", 40).bitwiseOR(F.shiftrightunsigned("fp", 24))
     leaders = shared.groupBy("token").agg(F.min_by("fp", order).alias("l_fp"), F.min_by("n", order).alias("l_n"), F.min_by("i", order).alias("l_i"))
     led = shared.join(scratch.table(leaders), "token")
-    nearest = F.col("i") + F.col("l_i")
-    star = (
-        led.where("fp <> l_fp and " + _fits("", "l_", percent))
-        .groupBy(F.col("fp").alias("a"))
-        .agg(F.min_by("l_fp", nearest).alias("b"))
-    )
-    star = scratch.table(_near(star, sketches, percent))
-    links = scratch.table(_similar(star, docs, reps, words, percent, scratch))
+    nearest = F.shiftleft(F.col("i") + F.col("l_i"), 40).bitwiseOR(F.shiftrightunsigned("l_fp", 24))
+    star = led.where("fp <> l_fp and " + _fits("", "l_", percent)).groupBy(F.col("fp").alias("a"))
+    star = scratch.table(star.agg(F.min_by("l_fp", nearest).alias("b"), F.min("n").alias("n"), F.min_by("l_n", nearest).alias("l_n")))
+    follow = star.select(F.col("b").alias("g"), F.col("a").alias("fp"), F.col("a").alias("c"), F.col("n").alias("w"))
+    lead = star.groupBy(F.col("b").alias("g")).agg(F.min("l_n").alias("w")).select("g", F.col("g").alias("fp"), F.col("g").alias("c"), "w")
+    links = _links(follow, lead, sketches, docs, reps, words, percent, scratch)
     groups = components(scratch, links, "a", "b")
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    member = scratch.table(groups.join(sizes, "component"))
+    # (fp, component so far, group): what is linked is a group, and who follows it is in it too
+    alone = star.select("a", "b").join(groups, F.col("a") == F.col("node"), "left_anti").join(groups, F.col("b") == F.col("node"), "left")
+    member = groups.select("node", F.col("component").alias("c"), F.col("component").alias("g")).union(alone.select("a", "a", F.coalesce("component", "b")))
+    member = scratch.table(member)
+    sizes = scratch.table(member.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
     placed = shared.select("token", "fp", "n", "i").join(member, F.col("fp") == F.col("node"), "left")
-    placed = scratch.table(placed.select("token", "fp", "n", "i", F.coalesce("component", "fp").alias("g"), F.coalesce("size", F.lit(1)).alias("size")))
-    several = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("i").alias("least")).where("lo <> hi").select("token", "least")
-    placed = scratch.table(placed.join(several, "token").where(f"(i + least) * {(100 + percent) * percent} <= n * {(100 + percent) * (100 - percent)}").drop("least"))
-    scratch.drop(shared)
-    pairs = scratch.table(_openable(placed, sketches, percent, scratch))
-    scratch.drop(placed)
-    if pairs.limit(1).count():
-        opened = scratch.table(_qualifying(pairs, docs, reps, words, percent, scratch))
-        links = scratch.table(links.union(_similar(opened, docs, reps, words, percent, scratch)))
+    placed = placed.select("token", "fp", "n", "i", F.coalesce("c", "fp").alias("c"), F.coalesce("g", "fp").alias("g"))
+    placed = scratch.table(placed.join(small_side(sizes), "g", "left").withColumn("size", F.coalesce("size", F.lit(1))))
+    several = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("i").alias("least")).where("lo <> hi").select("token", "least")
+    kept = scratch.table(placed.join(scratch.table(several), "token").where(f"(i + least) * {(100 + percent) * percent} <= n * {(100 + percent) * (100 - percent)}").drop("least"))
+    scratch.drop(shared, placed)
+    sides = scratch.table(kept.select("g", "fp", "c", F.col("n").alias("w")).distinct())
+    followers = sides.where("c <> g")
+    # a group is one row for each token, so a query meets it once however many members share the token
+    q = kept.select("token", *(F.col(c).alias(f"q_{c}") for c in ("fp", "n", "i", "c", "g", "size")))
+    matrix = kept.groupBy("token", "g", "size").agg(F.min("i").alias("i"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = q.join(matrix, "token").where(
+        f"(q_size < size or q_size = size and q_g < g) and q_n * 100 >= lo * {percent} and hi * 100 >= q_n * {percent}"
+        f" and (q_i + i) * {100 + percent} <= (q_n + least(hi, q_n * 100 div {percent})) * {100 - percent}"
+    )
+    met = met.select("g", F.col("q_fp").alias("fp"), F.col("q_c").alias("c"), F.col("q_n").alias("w")).distinct()
+    met = scratch.table(met.union(followers.select("g", "fp", "c", "w")))
+    scratch.drop(kept)
+    if met.limit(1).count():
+        links = scratch.table(links.union(_links(met, sides, sketches, docs, reps, words, percent, scratch)))
         groups = components(scratch, links, "a", "b")
 
     whole = reps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("g"))
