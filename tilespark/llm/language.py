@@ -3,30 +3,38 @@
 A text is read in strips of ``STRIP`` bytes, in both directions; the two states at a
 position give a distribution over the languages for it, so every position is labelled.
 A document's probabilities are the mean over all its positions.  Strips make long texts
-as parallel as short ones; the network starts anew in each.
+as parallel as short ones; each is read with ``CONTEXT`` bytes more on either side (blanks
+beyond the text), so that a position at a strip's edge has both contexts too.
 
 The network is written in numpy: the input weights are one row per byte value, the gates
 are those of a GRU, and training is backpropagation through time with Adam.  It is
-trained on the driver on a bounded sample of labelled rows; its weights (some tens of
-kB, whatever the corpus) go to the executors.
+trained on the driver on pieces of a bounded sample of labelled rows; its weights (some
+tens of kB, whatever the corpus) go to the executors.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilespark.llm.bpe import slices, texts_of
+from tilespark.llm.common import fresh, let_go
 
 #: Labelled rows that the network learns from, at most, of each language and in all; but
 #: up to ``LEAST_ROWS`` of each language, however many languages there are.
 ROWS_PER_LANGUAGE, LEARNING_ROWS, LEAST_ROWS = 400, 4000, 10
-STRIP, HIDDEN = 64, 8
+#: What is learned from a row: so many pieces of it at most, from anywhere in it, and a
+#: piece's characters.
+PIECES, PIECE_CHARS = 8, 512
+#: Bytes of a strip, those read on either side of it, and those of a strip in training.
+STRIP, CONTEXT, LEARNED_STRIP = 128, 16, 64
+HIDDEN = 8
 #: Strips that are read side by side.
 LANES = 2048
 UNKNOWN = "und"
@@ -137,7 +145,8 @@ class Network:
 def train(samples: list[tuple[bytes, str]], *, hidden: int = HIDDEN, steps: int = 260, lanes: int = 256, rate: float = 0.02, seed: int = 0) -> Network | None:
     """A network for the labels of the samples; None without any.
 
-    Each step draws languages evenly and strips from anywhere in their texts.
+    Each step draws languages evenly and strips from anywhere in their texts; a strip may
+    begin before a text or end after it, with blanks there.
     """
     labels = sorted({y for x, y in samples if x})
     if not labels:
@@ -150,16 +159,18 @@ def train(samples: list[tuple[bytes, str]], *, hidden: int = HIDDEN, steps: int
     weight = {y: np.cumsum([len(x) for x in own[y]]) for y in labels}
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
     for step in range(1, steps + 1):
-        data, mask = np.full((STRIP, lanes), 32, np.uint8), np.zeros((STRIP, lanes), np.float32)
+        data, mask = np.full((LEARNED_STRIP, lanes), 32, np.uint8), np.zeros((LEARNED_STRIP, lanes), np.float32)
         label = rnd.integers(0, len(labels), lanes)
         for k, y in enumerate(label):
             ends = weight[labels[y]]
             at = int(rnd.integers(0, ends[-1]))
             which = int(np.searchsorted(ends, at, "right"))
             text = own[labels[y]][which]
-            start = max(0, min(at - (int(ends[which]) - len(text)), len(text) - STRIP))
-            part = text[start : start + STRIP]
-            data[: len(part), k], mask[: len(part), k] = part, 1
+            start = at - (int(ends[which]) - len(text)) - int(rnd.integers(0, LEARNED_STRIP))
+            start = max(-CONTEXT, min(start, len(text) + CONTEXT - LEARNED_STRIP))
+            part = text[max(0, start) : start + LEARNED_STRIP]
+            inside = slice(max(0, -start), max(0, -start) + len(part))
+            data[inside, k], mask[inside, k] = part, 1
         _, grads = net.gradients(data, label, mask)
         norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads)))
         now = rate * min(1.0, 2.0 - 2.0 * step / steps)
@@ -180,21 +191,23 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     total = int(strips.sum())
     if not total:
         return out
-    data = np.full(total * STRIP, 32, np.uint8)
+    room = strips * STRIP + 2 * CONTEXT
+    base = np.cumsum(room) - room
+    data = np.full(int(room.sum()), 32, np.uint8)
+    for x, k in zip(texts, (base + CONTEXT).tolist()):
+        data[k : k + len(x)] = np.frombuffer(x, np.uint8)
+    read = np.lib.stride_tricks.sliding_window_view(data, STRIP + 2 * CONTEXT)
     first = np.cumsum(strips) - strips
-    for x, k in zip(texts, first.tolist()):
-        data[k * STRIP : k * STRIP + len(x)] = np.frombuffer(x, np.uint8)
-    data = data.reshape(total, STRIP)
     owner = np.repeat(np.arange(len(texts)), strips)
-    fill = np.full(total, STRIP)
-    has = sizes > 0
-    fill[(first + strips - 1)[has]] = sizes[has] - (strips[has] - 1) * STRIP
+    nth = np.arange(total) - first[owner]
+    at = base[owner] + nth * STRIP
+    fill = np.minimum(sizes[owner] - nth * STRIP, STRIP)
     sums = np.empty((total, len(net.labels)), np.float64)
     for a in range(0, total, LANES):
         b = min(total, a + LANES)
-        p = net.probabilities(net.states(np.ascontiguousarray(data[a:b].T)))
-        short = np.flatnonzero(fill[a:b] < STRIP)
-        for k in short:
+        states = net.states(np.ascontiguousarray(read[at[a:b]].T))
+        p = net.probabilities(states[CONTEXT : CONTEXT + STRIP])
+        for k in np.flatnonzero(fill[a:b] < STRIP):
             p[fill[a + k] :, k] = 0
         sums[a:b] = p.sum(0)
     for k in range(len(net.labels)):
@@ -202,28 +215,59 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, held_out) -> list[tuple[bytes, str]]:
-    """The same number of rows of each language (all, of one that has fewer), spread over
-    the whole table by a hash of the id."""
+def learning_rows(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    lang_col: str,
+    held_out: Column,
+    *,
+    rows_per_language: int = ROWS_PER_LANGUAGE,
+    rows: int = LEARNING_ROWS,
+    least_rows: int = LEAST_ROWS,
+    pieces: int = PIECES,
+    piece_chars: int = PIECE_CHARS,
+) -> list[tuple[bytes, str]]:
+    """Pieces of the same number of rows of each language (of all, where there are fewer),
+    spread over the whole table by a hash of the id.  A row's pieces begin anywhere in its
+    text; a short text is one piece."""
     src = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull() & ~held_out)
-    src = src.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
-    counts = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    text, n = df[text_col], F.length(df[text_col])
+    place = F.pmod(F.xxhash64(df[id_col]), F.lit(1 << 20)) / float(1 << 20)
+    many = F.greatest(F.lit(1), F.least(F.lit(pieces), F.ceil(n / piece_chars).cast("int")))
+    start = lambda j: F.pmod(F.xxhash64(df[id_col], j), F.greatest(n - piece_chars, F.lit(0)) + 1).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(1), many), lambda j: F.substring(text, start(j), F.lit(piece_chars)))
+    src = src.select(df[id_col].alias("id"), df[lang_col].alias("lang"), place.alias("place"), cut.alias("pieces"))
+    counts = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    quota = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, LEARNING_ROWS // len(counts)))
+    quota = max(least_rows, min(rows_per_language, rows // len(counts)))
+
+    def drawn(shares: dict[str, float]) -> list:
+        near = src.join(F.broadcast(df.sparkSession.createDataFrame(list(shares.items()), "lang string, share double")), "lang").where("place < share")
+        order = Window.partitionBy("lang").orderBy("place", "id", "pieces")
+        return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota).select("lang", "pieces", "place", "nth").collect()
+
     # a share of each language that is some deviations above the quota keeps the windows small
-    shares = [(r["lang"], min(1.0, (quota + 4 * quota**0.5 + 8) / r["n"])) for r in counts]
-    shares = df.sparkSession.createDataFrame(shares, "lang string, share double")
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    near = src.join(F.broadcast(shares), "lang").withColumn("place", place).where("place < share")
-    order = Window.partitionBy("lang").orderBy("place", "id", "text")
-    rows = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota).select("lang", "text", "place", "nth").collect()
-    return [(r["text"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["place"], r["lang"], r["nth"]))]
+    found = drawn({k: min(1.0, (quota + 4 * quota**0.5 + 8) / n) for k, n in counts.items()})
+    have = Counter(r["lang"] for r in found)
+    short = {k: 1.0 for k, n in counts.items() if have[k] < min(quota, n)}
+    if short:  # of many rows with few ids
+        found = [r for r in found if r["lang"] not in short] + drawn(short)
+    return [(x.encode(), r["lang"]) for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["nth"])) for x in r["pieces"]]
+
 
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, **bounds: int) -> Network | None:
+    """A network that is trained on the rows with a text and a language that are not held
+    out; None if there is none.
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=None) -> Network | None:
+    ``bounds`` are those of :func:`learning_rows`: what reaches the driver is a few pieces
+    of each of some thousand rows, at least one row of every language.  A null
+    ``held_out`` holds nothing out.  Repeated rows and rows of one id count each; empty
+    texts teach nothing; one language alone is learned without training.
+    """
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    return train(learning_rows(df, id_col, text_col, lang_col, held_out))
+    return train(learning_rows(df, id_col, text_col, lang_col, held_out, **bounds))
 
 
 def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
@@ -231,24 +275,33 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> Data
 
     The whole text is read and nothing but the text.  Null texts, texts without a letter
     and all texts where nothing was learned get ``und`` and 0.  Columns of these two
-    names are replaced.
+    names are replaced, all others stay.  A row's result depends on its text alone, so
+    repeated rows agree; an empty table stays empty.
     """
     src = df.drop("lang_pred", "score")
-    at = src.columns.index(text_col)
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return src.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at], 1 << 20):
-                flags = part.column(part.num_columns - 1).to_pylist()
-                texts = [x if f else b"" for x, f in zip(texts_of(part.column(at)), flags)]
-                p = pooled(net, texts)
-                best = p.argmax(1)
-                pred = [net.labels[k] if f else UNKNOWN for k, f in zip(best.tolist(), flags)]
-                score = np.where(flags, np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
-
-    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return src.withColumn("__letter", letter).mapInArrow(run, schema)
+    def judged(column: pa.Array) -> pa.Array:
+        texts = texts_of(column)  # empty exactly where null or without a letter
+        p = pooled(net, texts)
+        best = p.argmax(1)
+        pred = [net.labels[k] if x else UNKNOWN for k, x in zip(best.tolist(), texts)]
+        score = np.minimum(p[np.arange(len(best)), best], 1.0)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in batches:
+                batch = pa.RecordBatch.from_arrays([column], names=["text"])
+                parts = [judged(part.column(0)) for part in slices(batch, "text", 1 << 20)]
+                yield pa.concat_arrays(parts) if parts else judged(column)
+        finally:
+            let_go()
+
+    # only the text goes to Python, and only once however often its label is asked for
+    asked = F.arrow_udf(label, "struct<lang_pred:string,score:double>").asNondeterministic()
+    text = F.col(text_col)
+    (name,) = fresh(src.columns, "label")
+    out = src.withColumn(name, asked(F.when(text.rlike(r"\p{L}"), text)))
+    return out.select(*(F.col(f"`{c}`") for c in src.columns), F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
