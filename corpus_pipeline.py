@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import Scratch, small_side
+from tilespark.llm.common import Scratch, fresh, small_side
 from tilespark.llm.language import UNKNOWN, fit, identify
 from tilespark.llm.packing import pack
 from tilespark.llm.repeats import remove_repeats
@@ -18,8 +18,9 @@ from tilespark.llm.secrets import redact
 from tilespark.llm.similarity import ngram_jaccard_join
 from tilespark.session import ship
 
-#: A text whose pooled language probability is lower is taken for no language at all.
-LEAST_SCORE = 0.3
+#: A text whose pooled language probability is lower is taken for no language at all.  0 is
+#: what chance gives with the languages learned, 1 is certainty.
+LEAST_SCORE = 0.1
 #: Near duplicates share this percentage of their five-word shingles, or more.
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 #: Shortest repeated byte string that is cut out.
@@ -41,29 +42,36 @@ def _tables(spark: SparkSession, name: str) -> Scratch:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language.  Null texts, texts without letters and those whose pooled
-    probability stays below ``LEAST_SCORE`` are rejected; where no language could be
-    learned nothing but the former is.  A null ``lang`` is filled in."""
+    probability stays below ``LEAST_SCORE`` are rejected; where no language or only one
+    could be learned nothing but the former is.  A null ``lang`` is filled in."""
     ship(spark)
     net = fit(docs)
     if net is None:
         return docs.where(docs["text"].rlike(r"\p{L}"))
-    judged = identify(docs.select(*docs.columns), net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    chance = 1 / len(net.labels)
+    least = chance + LEAST_SCORE * (1 - chance)
+    judged = identify(docs.select(*docs.columns), net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates.  Of repeated rows
-    of one id one stays."""
+    """One document of each group of near duplicates, that of the smallest id; a null id
+    comes last.  Rows of one id or of none are documents of their own if their texts
+    differ; of rows that agree in id and text one stays."""
     ship(spark)
     scratch = _tables(spark, "near")
-    groups = ngram_jaccard_join(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT, scratch=scratch)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows"))
+    row, kept_row, rows = fresh(docs.columns, "row", "kept_row", "rows")
+    unknown = F.col("doc_id").isNull()
+    key = F.struct(unknown.alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.withColumn(row, key)
+    groups = ngram_jaccard_join(keyed, id_col=row, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT, scratch=scratch)
+    kept = groups.where(F.col(row) == F.col("component_id")).groupBy(F.col(row).alias(kept_row)).agg(F.count(F.lit(1)).alias(rows))
     kept = scratch.table(kept)
-    out = docs.join(small_side(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    once = out.where("rows = 1 or kept_id is null").select(*docs.columns)
-    if not kept.where("rows > 1 and kept_id is not null").limit(1).count():
+    out = keyed.join(small_side(kept), F.col(row) == F.col(kept_row))
+    once = out.where(F.col(rows) == 1).select(*docs.columns)
+    if not kept.where(F.col(rows) > 1).limit(1).count():
         return once
-    return once.union(out.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.union(out.where(F.col(rows) > 1).dropDuplicates([row]).select(*docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -101,6 +109,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of sequences that ``documents`` become.  An empty table gives none; null
+    texts and ids, repeated rows and ids, very long texts and further columns are dealt
+    with as each stage says."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
