@@ -89,3 +89,34 @@ def test_packing_holds_every_token(stages):
 def test_run(spark, tmp_path, sf_dir, stages):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_duplicates_of_odd_rows(spark, sf_dir):
+    rnd = np.random.default_rng(2)
+    a, b, c, d = (" ".join(f"w{x}" for x in rnd.integers(0, 9000, 60)) for _ in range(4))
+    rows = [(1, a, "en", "s", 1), (1, a, "de", "s", 1), (1, b, None, None, None), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1), (2, a + " more", "en", "s", 1), (3, None, "en", "s", 1), (3, None, "en", "s", 1), (4, None, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, kept_row string")
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, a), (1, b), (None, c), (None, d), (3, None), (4, None)])
+
+
+def test_stages_of_an_empty_table_and_of_further_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            more = docs.where("doc_id < 12").selectExpr("*", "'a' as rest", "'b' as label", "'c' as spans", "'d' as removed")
+            out = stage(spark, more, sf_dir)
+            assert out.columns == more.columns
+            assert {(r.rest, r.label, r.spans, r.removed) for r in out.collect()} == {("a", "b", "c", "d")}
+
+
+def test_very_long_texts(spark, sf_dir):
+    rnd = np.random.default_rng(3)
+    text = " ".join(f"word{x}" for x in rnd.integers(0, 50_000, 150_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "Short and clean words stand here.", "en", "s", 33)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, sf_dir).collect(), docs.schema)
+    assert {r.doc_id for r in kept.collect()} == {1, 2}
