@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions.registry import CODECS, BackendUnavailable, Codec, codec_for_bytes, codec_for_path, get_codec, has_codec, list_codecs, register_codec, resolve_codec
-from tilespark.operators import pyramid
-from tilespark.sources import acquisitions, containers, czi, tiff, zarr
+from tilespark.operators import frames, pyramid
+from tilespark.sources import acquisitions, containers, czi, storage, tiff, zarr
 
-__all__ = ["BackendUnavailable", "Codec", "codec_for_bytes", "codec_for_path", "get_codec", "has_codec", "list_codecs", "open", "open_pyramid", "read", "read_region", "reduce_frames", "register_codec", "resolve_codec", "write"]
+__all__ = ["BackendUnavailable", "Codec", "codec_for_bytes", "codec_for_path", "get_codec", "has_codec", "info", "list_codecs", "open", "open_pyramid", "read", "read_region", "reduce_files", "reduce_frames", "register_codec", "resolve_codec", "write"]
 
 _SUFFIX = {e: c.name for c in reversed(CODECS) for e in c.extensions} | {".fits": "fits", ".fit": "fits", ".index": "ndtiff", ".svs": "tiff", ".ndpi": "tiff", ".scn": "tiff", ".qptiff": "tiff", ".zarr": "zarr"}
 
@@ -53,7 +53,7 @@ def open_pyramid(spark: SparkSession, path: str, *, format: str | None = None) -
 def levels(path: str, format: str | None = None) -> list[tuple[int, ...]]:
     """Shapes of the levels, full resolution first."""
     if _format(path, format) == "zarr":
-        return [a.shape for a in zarr.open_pyramid(path)]
+        return [a.shape for a in zarr.open_pyramid(path)] if zarr.multiscales(path) else [zarr.open_array(path).shape]
     return [p.shape[:2] for p in tiff.pyramid_levels(tiff.read_pages(tiff.file_reader(path)))]
 
 
@@ -62,7 +62,7 @@ def read_region(path: str, level: int, y: tuple, x: tuple, format: str | None =
     shape = levels(path, format)[level]
     (y0, y1), (x0, x1) = pyramid.clip(*y, shape[-2]), pyramid.clip(*x, shape[-1])
     if _format(path, format) == "zarr":
-        return zarr.open_pyramid(path)[level].read(*[slice(None)] * (len(shape) - 2), slice(y0, y1), slice(x0, x1))
+        return (zarr.open_pyramid(path) if zarr.multiscales(path) else [zarr.open_array(path)])[level].read(*[slice(None)] * (len(shape) - 2), slice(y0, y1), slice(x0, x1))
     read_at = tiff.file_reader(path)
     return tiff.read_region(read_at, tiff.pyramid_levels(tiff.read_pages(read_at))[level], (y0, y1), (x0, x1))
 
@@ -88,13 +88,29 @@ def write(path: str, x: np.ndarray, *, format: str | None = None, **options) ->
 def reduce_frames(df: DataFrame, how: str = "max") -> DataFrame:
     """Element-wise fold of the frames of rows (payload, dtype) of one shape: (pos, v).
     Each frame is unpacked on its executor and folded before the shuffle."""
+    fold = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}[how]
+    return df.select(F.posexplode(frames.values("payload", "dtype")).alias("pos", "v")).groupBy("pos").agg(fold("v").alias("v"))
+
+
+def reduce_files(spark: SparkSession, path: str, reducer, *, format: str | None = None) -> DataFrame:
+    """One row (dtype, payload): all frames of files, folded by a function of two arrays."""
+    return frames.fold(read(spark, path, format=format), reducer)
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, level, height, width, samples, dtype, compression, tiles) of the
+    directories of TIFF files, from their heads alone; files are dealt over the tasks."""
     import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
 
-    def unpack(payload: pa.Array, dtype: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else np.frombuffer(v, t).astype(np.float64) for v, t in zip(payload.to_pylist(), dtype.to_pylist())], pa.list_(pa.float64()))
+    files = spark.createDataFrame([(f,) for f in storage.list_files(path)] or [], "path string")
 
-    unpack.__annotations__ = {"payload": pa.Array, "dtype": pa.Array, "return": pa.Array}
-    values = arrow_udf(unpack, "array<double>")("payload", "dtype")
-    fold = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}[how]
-    return df.select(F.posexplode(values).alias("pos", "v")).groupBy("pos").agg(fold("v").alias("v"))
+    def run(batches):
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                rows = []
+                for n, k, p in tiff.read_pages(tiff.file_reader(f)):
+                    (h, w, c), (th, tw) = p.shape, p.tile_shape
+                    rows.append({"path": f, "page": n, "level": k, "height": h, "width": w, "samples": c, "dtype": p.dtype.str[1:], "compression": p.one(tiff.COMPRESSION, 1), "tiles": -(-h // th) * -(-w // tw)})
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return files.mapInArrow(run, "path string, page long, level long, height long, width long, samples long, dtype string, compression long, tiles long")

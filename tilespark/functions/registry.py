@@ -52,6 +52,34 @@ def _at(hexed, offset=0):
     return ((offset, hexed),)
 
 
+def _tiff_encode(x, level=None):
+    """A page, or a list of pages."""
+    from tilespark.sources.tiff import tiff_bytes
+
+    return tiff_bytes(x if isinstance(x, list) else [x], compression=8, level=level)
+
+
+def _tiff_decode(data):
+    """The pages."""
+    from tilespark.sources.tiff import tiff_arrays
+
+    return tiff_arrays(data)
+
+
+def _czi_decode(data):
+    """The pixels of all sub-blocks, in the order of the directory."""
+    from tilespark.sources.czi import czi_entries, czi_pixels
+
+    return [czi_pixels(data, e) for e in czi_entries(data)]
+
+
+def _lif_decode(data):
+    """The images, slowest dimension first."""
+    from tilespark.sources.acquisitions import lif_images
+
+    return [x for _, x in lif_images(data)]
+
+
 # Names, aliases, suffixes and magic bytes in order of precedence.
 CODECS: list[Codec] = [
     _absent("jxl", ("jpegxl", "jpeg-xl"), (".jxl",), ("u1", "u2", "f2", "f4"), (_at("FF0A"), _at("0000000C4A584C20")), multi_frame=True, chunked=True),
@@ -93,16 +121,16 @@ CODECS: list[Codec] = [
     Codec("gif", (), (".gif",), multi_frame=True, encode=images.gif_encode, decode=images.gif_frames, magic=(_at("474946383761"), _at("474946383961"))),
     _byte("snappy", (), (".sz",)),
     _absent("hdf5", ("hdf",), (".h5", ".hdf5", ".he5"), ("u1", "u2", "i2", "i4", "f4", "f8"), (_at("894844460D0A1A0A"),), can_encode=False, multi_frame=True, chunked=True),
-    _absent("czi", (), (".czi",), ("u1", "u2", "f4"), (_at("5A495352415746494C45"),), can_encode=False, multi_frame=True, chunked=True, parallel_decode=True),
+    Codec("czi", (), (".czi",), ("u1", "u2", "f4"), decode=_czi_decode, magic=(_at("5A495352415746494C45"),), can_encode=False, multi_frame=True, chunked=True, parallel_decode=True),
     _absent("nd2", (), (".nd2",), ("u1", "u2", "i2", "f4"), (_at("DACEBE0A"), _at("DABCD83E")), can_encode=False, multi_frame=True, chunked=True),
-    _absent("lif", (), (".lif",), ("u1", "u2"), (_at("70000000"),), can_encode=False, multi_frame=True),
+    Codec("lif", (), (".lif",), ("u1", "u2"), decode=_lif_decode, magic=(_at("70000000"),), can_encode=False, multi_frame=True),
     _absent("oib", ("oif",), (".oib", ".oif"), ("u1", "u2", "u4"), (_at("D0CF11E0A1B11AE1"),), can_encode=False, multi_frame=True),
     _absent("vsi", (), (".vsi",), ("u1", "u2", "f4"), (_at("49492A00"), _at("4D4D002A")), can_encode=False, multi_frame=True, chunked=True),
     _absent("oir", (), (".oir",), ("u1", "u2"), (_at("4F4C594D505553524157464F524D4154"),), can_encode=False, multi_frame=True, chunked=True),
     Codec("bmp", (), (".bmp", ".dib"), encode=images.bmp_encode, decode=images.bmp_decode, magic=(_at("424D"),)),
     Codec("png", (), (".png",), ("u1", "u2"), encode=images.png_encode, decode=images.png_decode, magic=(_at("89504E470D0A1A0A"),)),
     Codec("bitshuffle", ("bshuf",), (), NUMERIC[:6] + ("u8", "i8", "f4", "f8"), encode=arraycodecs.bitshuffle_encode, decode=arraycodecs.bitshuffle_decode),
-    Codec("tiff", ("bigtiff",), (".tif", ".tiff", ".btf"), NUMERIC, multi_frame=True, chunked=True, encode=bytes, decode=bytes, magic=(_at("49492A00"), _at("4D4D002A"), _at("49492B00"), _at("4D4D002B"))),
+    Codec("tiff", ("bigtiff",), (".tif", ".tiff", ".btf"), NUMERIC, multi_frame=True, chunked=True, encode=_tiff_encode, decode=_tiff_decode, magic=(_at("49492A00"), _at("4D4D002A"), _at("49492B00"), _at("4D4D002B"))),
     Codec("eer", (), (".eer",), ("u1", "u2"), can_encode=False, multi_frame=True, chunked=True, decode=arraycodecs.eer_events),
 ]
 
@@ -136,9 +164,10 @@ def has_codec(name: str, op: str | None = None) -> bool:
 
 
 def list_codecs(spark: SparkSession) -> DataFrame:
-    """One row per codec, by name."""
-    rows = [(c.name, list(c.aliases), list(c.extensions), c.native, c.can_encode, c.can_decode, c.multi_frame, c.chunked, c.parallel_decode, list(c.dtypes), k) for k, c in enumerate(CODECS)]
-    schema = "name string, aliases array<string>, extensions array<string>, native boolean, encode boolean, decode boolean, multi_frame boolean, chunked boolean, parallel_decode boolean, dtypes array<string>, priority int"
+    """One row per codec, by name: ``encode`` and ``decode`` are what the format allows,
+    ``encodes`` and ``decodes`` what runs here."""
+    rows = [(c.name, list(c.aliases), list(c.extensions), c.native, c.can_encode, c.can_decode, has_codec(c.name, "encode"), has_codec(c.name, "decode"), c.multi_frame, c.chunked, c.parallel_decode, list(c.dtypes), k) for k, c in enumerate(CODECS)]
+    schema = "name string, aliases array<string>, extensions array<string>, native boolean, encode boolean, decode boolean, encodes boolean, decodes boolean, multi_frame boolean, chunked boolean, parallel_decode boolean, dtypes array<string>, priority int"
     return spark.createDataFrame(rows, schema).orderBy("name")
 
 
@@ -198,8 +227,7 @@ def decode_bytes(data: Column, name: str) -> Column:
     return _bytes_udf(c.decode if c else bytecodecs.DECODE[name], f"{name}: no backend installed")(data)
 
 
-def decode_segment(data: Column, code: Column) -> Column:
-    """Decompresses segments by their TIFF compression code, several codes in one column."""
+def _segments():
     from pyspark.sql.functions import arrow_udf
 
     known = {k: bytecodecs.DECODE.get(v) for k, v in SEGMENT_CODES.items()}
@@ -218,10 +246,41 @@ def decode_segment(data: Column, code: Column) -> Column:
                 out.append(bytes(known[k](v)))
         return pa.array(out, pa.binary())
 
-    return run(data, code)
+    return run
+
+
+def decode_segment(data: Column, code: Column) -> Column:
+    """Decompresses segments by their TIFF compression code, several codes in one column."""
+    return _segments()(data, code)
 
 
 def encode_segment(data: Column, name: str, level: int | None = None) -> Column:
     """The inverse, by name or code."""
     name = SEGMENT_CODES.get(name, name) if isinstance(name, int) else name
     return data if name == "none" else encode_bytes(data, name, level)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``codec_encode(data, name)`` and ``codec_decode(data, name)`` for SQL, and
+    ``segment_decode(data, code)`` of TIFF's compression codes."""
+    from pyspark.sql.functions import arrow_udf
+
+    def each(op: str):
+        def run(data: pa.Array, names: pa.Array) -> pa.Array:
+            out = []
+            for v, name in zip(data.to_pylist(), names.to_pylist()):
+                if v is None or name is None:
+                    out.append(None)
+                    continue
+                f = getattr(get_codec(name), op) if has_codec(name) else getattr(bytecodecs, op.upper())[name]
+                if f is None:
+                    raise BackendUnavailable(f"{name}: no backend installed")
+                out.append(bytes(f(v, None) if op == "encode" else f(v)))
+            return pa.array(out, pa.binary())
+
+        run.__annotations__ = {"data": pa.Array, "names": pa.Array, "return": pa.Array}
+        return arrow_udf(run, "binary")
+
+    for op in ("encode", "decode"):
+        spark.udf.register(f"codec_{op}", each(op))
+    spark.udf.register("segment_decode", _segments())

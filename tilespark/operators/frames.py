@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
@@ -73,3 +75,58 @@ def quality(df: DataFrame, keys: Sequence[str], a: str, b: str, peak: float) ->
     d = F.col(a) - F.col(b)
     out = df.groupBy(*keys).agg(F.max(F.abs(d)).alias("max_abs_error"), F.avg(d * d).alias("mse"))
     return out.withColumn("psnr", F.when(F.col("mse") == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(float(peak) ** 2) / F.col("mse"))))
+
+
+def values(payload: str, dtype: str) -> Column:
+    """The numbers of a payload column, as doubles."""
+    from pyspark.sql.functions import arrow_udf
+
+    def unpack(payload: pa.Array, dtype: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.frombuffer(v, t).astype(np.float64) for v, t in zip(payload.to_pylist(), dtype.to_pylist())], pa.list_(pa.float64()))
+
+    unpack.__annotations__ = {"payload": pa.Array, "dtype": pa.Array, "return": pa.Array}
+    return arrow_udf(unpack, "array<double>")(payload, dtype)
+
+
+def payload_cells(df: DataFrame, width: Column, keep: Sequence[str], samples: int = 1) -> DataFrame:
+    """(keep..., y, x, c, v) of rows (payload, dtype) that hold pixels row by row."""
+    out = df.select(*keep, width.alias("w"), F.posexplode(values("payload", "dtype")).alias("pos", "v"))
+    pixel = F.floor(F.col("pos") / samples)
+    return out.select(*out.columns[:-3], F.floor(pixel / F.col("w")).cast("int").alias("y"), (pixel % F.col("w")).cast("int").alias("x"), (F.col("pos") % samples).cast("int").alias("c"), "v")
+
+
+def fold(df: DataFrame, reducer, fan_in: int = 16) -> DataFrame:
+    """One row (dtype, payload): the frames of ``df`` (dtype, payload) folded by any function
+    of two arrays that neither order nor grouping matters to.
+
+    Tasks fold their own frames; then ``fan_in`` results at a time are folded, so that no
+    task ever meets more than that.  No frames give no row.
+    """
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(data, kind)
+                held = x if held is None else reducer(held, x)
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"dtype": [held.dtype.str[1:]], "payload": pa.array([held.tobytes()], pa.binary())})
+
+    schema = "dtype string, payload binary"
+    out = df.select("dtype", "payload")
+    parts = out.rdd.getNumPartitions()
+    out = out.mapInArrow(run, schema)
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        out = out.repartition(parts).mapInArrow(run, schema)
+    return out
+
+
+def frame_count(df: DataFrame, source: Sequence[str]) -> DataFrame:
+    """How many frames each source has."""
+    return df.groupBy(*source).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def iter_frames(df: DataFrame, order: str):
+    """The frames of a source one after the other, a partition at a time on the driver."""
+    yield from df.orderBy(order).toLocalIterator(prefetchPartitions=True)

@@ -96,6 +96,36 @@ def subblock_overlaps(boxes: DataFrame, blocks: DataFrame, key: Sequence[str], g
     return pairs.where(corner).drop("gy", "gx")
 
 
+def paste(cells: DataFrame, order: str, y: tuple[int, int], x: tuple[int, int], keys: Sequence[str] = (), fill=0) -> DataFrame:
+    """(keys..., y, x, v) of every pixel of a region.  Where several tiles give a pixel the
+    last in ``order`` does; what none gives holds ``fill``."""
+    inside = cells.where((F.col("y") >= y[0]) & (F.col("y") < y[1]) & (F.col("x") >= x[0]) & (F.col("x") < x[1]))
+    given = inside.groupBy(*keys, "y", "x").agg(F.max_by("v", order).alias("v"))
+    if y[1] <= y[0] or x[1] <= x[0]:
+        return given
+    every = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()
+    every = every.withColumn("y", F.explode(F.sequence(F.lit(y[0]), F.lit(y[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(x[0]), F.lit(x[1] - 1))))
+    return every.join(given, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("v", F.lit(fill)).alias("v"))
+
+
+def move_axis(cells: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Axes under other names: {old: new}; swapping two transposes."""
+    return cells.select(*(F.col(c).alias(names.get(c, c)) for c in cells.columns))
+
+
+def squeeze(cells: DataFrame, axis: str, at: int = 0) -> DataFrame:
+    """Without an axis of one place; a row elsewhere raises."""
+    there = F.when(F.col(axis) == at, F.lit(True)).otherwise(F.raise_error(F.lit(f"axis {axis} has more than one place")).cast("boolean"))
+    return cells.where(there).drop(axis)
+
+
+def level_downscale(levels: DataFrame, source: Sequence[str]) -> DataFrame:
+    """``levels`` (source..., level, h, w) with ``ds_y`` and ``ds_x``, how many times smaller
+    each is than level 0; halves go to the even number."""
+    base = Window.partitionBy(*source).orderBy("level")
+    return levels.withColumns({f"ds_{a}": F.greatest(F.lit(1), F.rint(F.first(s).over(base) / F.col(s)).cast("int")) for a, s in (("y", "h"), ("x", "w"))})
+
+
 def fill_missing(grid: DataFrame, chunks: DataFrame, on: Sequence[str], value: str, fill) -> DataFrame:
     """A grid of chunks with a fill value for those that are not stored."""
     return grid.join(chunks, list(on), "left").withColumn(value, F.coalesce(value, F.lit(fill)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,18 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tilespark"), "zip", _ROOT, "tilespark")
         spark.sparkContext.addPyFile(archive)
         _shipped.add(app)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir`` for files that tasks write and read by path;
+    it goes when the driver ends.  Only on one machine may that setting be missing."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tilespark-")
+    path = f"{root.removeprefix('file://').removeprefix('file:').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import struct
+import urllib.request
 from xml.etree import ElementTree
 
 import numpy as np
@@ -24,29 +25,79 @@ from tilespark.sources.tiff import file_reader
 NDTIFF_PIXELS = {0: ("u1", 1), 1: ("u2", 1), 2: ("u1", 3), 3: ("u2", 1), 4: ("u2", 1), 5: ("u2", 1), 6: ("u2", 1)}
 
 
-def write_ndtiff(folder: str, frames, *, compression: int = 1, limit: int = 4_000_000_000) -> None:
+#: NDTiff's marks behind the head of a file, its version, and a tag of its own.
+_INDEX_MARK, _SUMMARY_MARK, _VERSION, _META_TAG = 483729, 2355492, 3, 51123
+
+
+class _Stack:
+    """A data file: a TIFF whose directories stand before their pixels and metadata."""
+
+    def __init__(self, path: str, summary: bytes):
+        self.file = open(path, "wb")  # noqa: SIM115
+        self.file.write(struct.pack("<2sHIIIII", b"II", 42, 0, _INDEX_MARK, _VERSION, _SUMMARY_MARK, len(summary)) + summary)
+        self.link = 4  # where the place of the next directory goes
+
+    def size(self) -> int:
+        return self.file.tell()
+
+    def add(self, x: np.ndarray, raw: bytes, compression: int, meta: bytes) -> int:
+        """Writes a frame; returns the place of its pixels."""
+        f, samples = self.file, 1 if x.ndim == 2 else x.shape[2]
+        f.write(bytes(f.tell() % 2))
+        at, bits = f.tell(), 8 * x.dtype.itemsize
+        f.seek(self.link)
+        f.write(struct.pack("<I", at))
+        f.seek(at)
+        tags = 11
+        extra = at + 2 + 12 * tags + 4
+        pixels = extra + (2 * samples if samples > 2 else 0)
+        pixels += pixels % 2
+        wide = struct.pack(f"<{samples}H", *[bits] * samples) if samples <= 2 else struct.pack("<I", extra)
+        entries = [
+            (256, 4, 1, x.shape[1]),
+            (257, 4, 1, x.shape[0]),
+            (258, 3, samples, wide.ljust(4, b"\0")),
+            (259, 3, 1, compression),
+            (262, 3, 1, 2 if samples == 3 else 1),
+            (273, 4, 1, pixels),
+            (277, 3, 1, samples),
+            (278, 4, 1, x.shape[0]),
+            (279, 4, 1, len(raw)),
+            (339, 3, 1, 1),
+            (_META_TAG, 2, len(meta), pixels + len(raw) if len(meta) > 4 else meta.ljust(4, b"\0")),
+        ]
+        f.write(struct.pack("<H", tags))
+        for tag, kind, count, value in entries:
+            f.write(struct.pack("<HHI", tag, kind, count) + (value if isinstance(value, bytes) else struct.pack("<I", value)))
+        self.link = f.tell()
+        f.write(struct.pack("<I", 0))
+        f.write(struct.pack(f"<{samples}H", *[bits] * samples) if samples > 2 else b"")
+        f.write(bytes(pixels - f.tell()) + raw + meta)
+        return pixels
+
+
+def write_ndtiff(folder: str, frames, *, compression: int = 1, limit: int = 4_000_000_000, summary: dict | None = None) -> None:
     """Writes (axes, pixels) and their index as they come; a data file that would grow beyond
     ``limit`` is followed by another.  The index ends with a negative length."""
     os.makedirs(folder, exist_ok=True)
-    number, size, out = 0, 0, None
+    number, out, head = 0, None, json.dumps(summary or {}).encode()
     with open(f"{folder}/NDTiff.index", "wb") as index:
         for axes, x in frames:
             name = SEGMENT_CODES[compression]
             raw = x.tobytes() if name == "none" else ENCODE[name](x.tobytes(), None)
             meta = json.dumps(axes).encode()
-            if out is None or size + len(raw) + len(meta) > limit:
+            if out is None or out.size() + len(raw) + len(meta) > limit:
                 if out:
-                    out.close()
+                    out.file.close()
                 number += 1
                 file = "NDTiffStack.tif" if number == 1 else f"NDTiffStack_{number - 1}.tif"
-                out, size = open(f"{folder}/{file}", "wb"), 0  # noqa: SIM115
+                out = _Stack(f"{folder}/{file}", head)
             kind = 2 if x.ndim == 3 else 1 if x.dtype.itemsize == 2 else 0
-            out.write(raw + meta)
-            index.write(ndtiff_encode([(axes, file, (size, x.shape[1], x.shape[0], kind, 0 if name == "none" else compression, size + len(raw), len(meta), 0))]))
-            size += len(raw) + len(meta)
+            at = out.add(x, raw, compression, meta)
+            index.write(ndtiff_encode([(axes, file, (at, x.shape[1], x.shape[0], kind, 0 if name == "none" else compression, at + len(raw), len(meta), 0))]))
         index.write(struct.pack("<i", -1))
     if out:
-        out.close()
+        out.file.close()
 
 
 def read_ndtiff(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,26 +177,31 @@ def lif_encode(xml: str, blocks: dict[str, bytes]) -> bytes:
     return b"".join(out)
 
 
+def lif_images(data: bytes):
+    """(name, pixels) of the images, slowest dimension first as their byte increments order
+    them."""
+    xml, blocks = lif_parts(data)
+    for element in ElementTree.fromstring(xml).iter("Element"):
+        image, memory = element.find("./Data/Image"), element.find("./Memory")
+        if image is None or memory is None or memory.get("MemoryBlockID") not in blocks:
+            continue
+        bits = int(image.find(".//ChannelDescription").get("Resolution", "8"))
+        axes = [(int(d.get("BytesInc")), int(d.get("NumberOfElements"))) for d in image.iter("DimensionDescription")]
+        channels = [int(c.get("BytesInc", "0")) for c in image.iter("ChannelDescription")]
+        if len(channels) > 1:
+            axes.append((channels[1] - channels[0], len(channels)))
+        shape = [n for _, n in sorted(axes, reverse=True)]
+        at, size = blocks[memory.get("MemoryBlockID")]
+        kind = "<u1" if bits <= 8 else "<u2"
+        yield element.get("Name"), np.frombuffer(data, kind, int(np.prod(shape)), at).reshape(shape)
+
+
 def read_lif(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image, name, shape, dtype, payload) of the images of LIF files: slowest
-    dimension first, as their byte increments order them."""
+    """(path, image, name, shape, dtype, payload) of the images of LIF files."""
 
     def rows(p, data):
-        xml, blocks = lif_parts(data)
-        k = 0
-        for element in ElementTree.fromstring(xml).iter("Element"):
-            image, memory = element.find("./Data/Image"), element.find("./Memory")
-            if image is None or memory is None or memory.get("MemoryBlockID") not in blocks:
-                continue
-            bits = int(image.find(".//ChannelDescription").get("Resolution", "8"))
-            axes = [(int(d.get("BytesInc")), int(d.get("NumberOfElements"))) for d in image.iter("DimensionDescription")]
-            channels = [int(c.get("BytesInc", "0")) for c in image.iter("ChannelDescription")]
-            if len(channels) > 1:
-                axes.append((channels[1] - channels[0], len(channels)))
-            shape = [n for _, n in sorted(axes, reverse=True)]
-            at, size = blocks[memory.get("MemoryBlockID")]
-            yield {"path": p, "image": k, "name": element.get("Name"), "shape": shape, "dtype": "u1" if bits <= 8 else "u2", "payload": data[at : at + size]}
-            k += 1
+        for k, (name, x) in enumerate(lif_images(data)):
+            yield {"path": p, "image": k, "name": name, "shape": list(x.shape), "dtype": x.dtype.str[1:], "payload": x.tobytes()}
 
     return _parse(spark, path, "path string, image long, name string, shape array<long>, dtype string, payload binary", rows)
 
@@ -196,3 +252,45 @@ def decode_frame(data: bytes, syntax: str, shape: tuple[int, ...], dtype) -> np.
     if codec == "dicomrle":
         return dicomrle_decode(data, shape, dtype)
     raise BackendUnavailable(f"{codec}: no backend installed")
+
+
+class DicomwebClient:
+    """Frames and instances of a DICOMweb server (WADO-RS and QIDO-RS).  ``fetch(url, accept)``
+    gives (content type, body); by default it asks over HTTP."""
+
+    def __init__(self, base: str, fetch=None):
+        self.base, self.fetch = base.rstrip("/"), fetch or http_get
+
+    def get_frame(self, study: str, series: str, instance: str, frame: int, shape: tuple[int, ...], dtype) -> np.ndarray:
+        """Pixels of a frame; frames count from 1."""
+        url = f"{self.base}/studies/{study}/series/{series}/instances/{instance}/frames/{frame}"
+        kind, body = self.fetch(url, 'multipart/related; type="application/octet-stream"; transfer-syntax=*')
+        head, data = multipart(body, kind)[0]
+        found = re.search(r'transfer-syntax="?([0-9.]+)', head.get("content-type", ""))
+        return decode_frame(data, found[1] if found else "1.2.840.10008.1.2.1", shape, dtype)
+
+    def list_instances(self, study: str, series: str) -> list[str]:
+        """The UIDs of a series, as the server orders them."""
+        _, body = self.fetch(f"{self.base}/studies/{study}/series/{series}/instances", "application/dicom+json")
+        return [x["00080018"]["Value"][0] for x in json.loads(body or b"[]")]
+
+
+def http_get(url: str, accept: str) -> tuple[str, bytes]:
+    request = urllib.request.Request(url, headers={"Accept": accept})
+    with urllib.request.urlopen(request, timeout=60) as answer:
+        return answer.headers.get("Content-Type", ""), answer.read()
+
+
+def read_dicomweb(frames: DataFrame, base: str) -> DataFrame:
+    """(study, series, instance, frame, payload) of rows (study, series, instance, frame,
+    height, width, dtype); every task asks the server for its own rows."""
+
+    def run(batches):
+        client = DicomwebClient(base)
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = client.get_frame(r["study"], r["series"], r["instance"], r["frame"], (r["height"], r["width"]), r["dtype"])
+                yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("study", "series", "instance", "frame")}, "payload": x.tobytes()}])
+
+    asked = frames.select("study", "series", "instance", F.col("frame").cast("long").alias("frame"), "height", "width", "dtype")
+    return asked.mapInArrow(run, "study string, series string, instance string, frame long, payload binary")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import images
+from tilespark.functions.arraycodecs import rgbe_file_decode
 from tilespark.sources.tiff import write_tiff
 
 _BITPIX = {8: "u1", 16: "i2", 32: "i4", 64: "i8", -32: "f4", -64: "f8"}
@@ -150,18 +151,18 @@ def read_ndtiff_index(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("axes", F.from_json("axes", "map<string,string>"))
 
 
-_IMAGES = {"png": images.png_decode, "bmp": images.bmp_decode, "qoi": images.qoi_decode}
+_IMAGES = {"png": images.png_decode, "bmp": images.bmp_decode, "qoi": images.qoi_decode, "hdr": rgbe_file_decode}
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame, height, width, channels, dtype, payload) of PNG, BMP, QOI and GIF files,
-    recognised by their first bytes."""
+    """(path, frame, height, width, channels, dtype, payload) of PNG, BMP, QOI, GIF and
+    Radiance files, recognised by their first bytes."""
 
     def rows(p, data):
         if data[:3] == b"GIF":
             found = images.gif_frames(data)[0]
         else:
-            kind = {b"\x89P": "png", b"BM": "bmp", b"qo": "qoi"}.get(data[:2])
+            kind = {b"\x89P": "png", b"BM": "bmp", b"qo": "qoi", b"#?": "hdr"}.get(data[:2])
             if kind is None:
                 raise ValueError(f"{p}: unknown image")
             found = [_IMAGES[kind](data)]

@@ -1,13 +1,20 @@
 """TIFF and BigTIFF: pages, tiles and strips as rows, and a writer of tiled pyramids.
 
-The reader plans on the driver from headers alone; partitions are groups of tiles, and
-comparisons on ``page``, ``level``, ``ty``, ``tx``, ``y0`` and ``x0`` drop tiles before any
-of their bytes are read.
+The reader plans on the driver from headers alone, row by row and column by column of the
+tiles; partitions are runs of tiles, and comparisons on ``page``, ``level``, ``plane``,
+``ty``, ``tx``, ``y0`` and ``x0`` drop tiles before any of their bytes are read.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
+import math
+import os
+import shutil
 import struct
+import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from tilespark.functions import arraycodecs
 from tilespark.functions.bytecodecs import DECODE, ENCODE
 from tilespark.functions.registry import SEGMENT_CODES, BackendUnavailable
+from tilespark.sources import storage
 
 # Field types (struct letters), and tags.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -55,17 +63,24 @@ class Page:
             return self.one(TILE_HEIGHT), self.one(TILE_WIDTH)
         return min(self.one(ROWS_PER_STRIP, self.one(HEIGHT)), self.one(HEIGHT)), self.one(WIDTH)
 
+    @property
+    def grid(self) -> tuple[int, int, int]:
+        """Planes, and rows and columns of tiles."""
+        (height, width, samples), (th, tw) = self.shape, self.tile_shape
+        return samples if self.one(PLANAR, 1) == 2 else 1, -(-height // th), -(-width // tw)
+
+    def segment(self, plane: int, ty: int, tx: int) -> tuple[int, ...]:
+        """(plane, ty, tx, y0, x0, h, w, offset, size) of a tile or strip."""
+        (height, width, _), (th, tw), (_, rows, cols) = self.shape, self.tile_shape, self.grid
+        k = (plane * rows + ty) * cols + tx
+        offset = self.tags[TILE_OFFSETS if self.tiled else STRIP_OFFSETS][k]
+        size = self.tags[TILE_SIZES if self.tiled else STRIP_SIZES][k]
+        return plane, ty, tx, ty * th, tx * tw, min(th, height - ty * th), min(tw, width - tx * tw), offset, size
+
     def segments(self):
-        """(plane, ty, tx, y0, x0, h, w, offset, size) of each tile or strip."""
-        height, width, _ = self.shape
-        th, tw = self.tile_shape
-        rows, cols = -(-height // th), -(-width // tw)
-        offsets = self.tags[TILE_OFFSETS if self.tiled else STRIP_OFFSETS]
-        sizes = self.tags[TILE_SIZES if self.tiled else STRIP_SIZES]
-        for k, (a, n) in enumerate(zip(offsets, sizes)):
-            plane, k = divmod(k, rows * cols)
-            ty, tx = divmod(k, cols)
-            yield plane, ty, tx, ty * th, tx * tw, min(th, height - ty * th), min(tw, width - tx * tw), a, n
+        """All tiles or strips."""
+        for where in itertools.product(*map(range, self.grid)):
+            yield self.segment(*where)
 
     def decode(self, data: bytes, h: int, w: int) -> np.ndarray:
         """Pixels (h, w, samples) of a stored tile or strip."""
@@ -146,87 +161,111 @@ def read_region(read_at, page: Page, y: tuple[int, int], x: tuple[int, int]) ->
     return out
 
 
-def write_tiff(path: str, pages: list, *, tile: tuple[int, int] | None = None, compression: int = 1, level: int | None = None, predictor: int = 1, big: bool = False, subifds: bool = True, description: str = "") -> None:
-    """Writes pages; an entry that is a list is a pyramid, full resolution first, whose
-    other levels become SubIFDs, or reduced pages of their own after it."""
-    word, count = ("Q", "Q") if big else ("I", "H")
+def tiff_bytes(pages: list, **options) -> bytes:
+    out = io.BytesIO()
+    write_tiff(out, pages, **options)
+    return out.getvalue()
+
+
+def tiff_arrays(data: bytes) -> list[np.ndarray]:
+    """The pages of a file in memory, without levels; one channel is no axis."""
+    read_at = storage.BytesSource(bytes(data)).read_at
+    out = [read_region(read_at, p, (0, p.shape[0]), (0, p.shape[1])) for _, k, p in read_pages(read_at) if not k]
+    return [x[..., 0] if x.shape[2] == 1 else x for x in out]
+
+
+def write_tiff(path, pages: list, *, tile: tuple[int, int] | None = None, compression: int = 1, level: int | None = None, predictor: int = 1, big: bool = False, subifds: bool = True, description: str = "") -> None:
+    """Writes pages to a file or anything that can be written to; an entry that is a list is a
+    pyramid, full resolution first, whose other levels become SubIFDs, or reduced pages of
+    their own after it.  What cannot seek gets the file once it is whole."""
+    if not isinstance(path, (str, bytes, os.PathLike)):
+        with tempfile.SpooledTemporaryFile(1 << 26) as held:
+            _write(held, pages, tile, compression, level, predictor, big, subifds, description)
+            held.seek(0)
+            shutil.copyfileobj(held, path)
+        return
     with open(path, "wb") as f:
-        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
-        link = 8 if big else 4
-
-        def directory(x: np.ndarray, reduced: bool, subs: int) -> tuple[int, int, int]:
-            """Writes tiles and directory; returns its place, that of its link and of its SubIFDs."""
-            x = x[..., None] if x.ndim == 2 else x
-            h, w, c = x.shape
-            th, tw = tile or (min(h, 64), w)
-            offsets, sizes = [], []
-            for y0 in range(0, h, th):
-                for x0 in range(0, w, tw):
-                    part = x[y0 : y0 + th, x0 : x0 + tw]
-                    if tile:
-                        part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1]), (0, 0)))
-                    part = part.astype(part.dtype.newbyteorder("<"))
-                    if predictor == 3:
-                        data = arraycodecs.predictor3_encode(part)
-                    else:
-                        data = (arraycodecs.predictor2_encode(part) if predictor == 2 else part).tobytes()
-                    name = SEGMENT_CODES[compression]
-                    data = data if name == "none" else ENCODE[name](data, level)
-                    offsets.append(f.tell())
-                    sizes.append(len(data))
-                    f.write(data + b"\0" * (len(data) % 2))
-            kind = {"u": 1, "i": 2, "f": 3}[x.dtype.kind]
-            tags = [(SUBFILE, "I", [int(reduced)]), (WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [x.dtype.itemsize * 8] * c), (COMPRESSION, "H", [compression]), (PHOTOMETRIC, "H", [2 if c >= 3 else 1]), (SAMPLES, "H", [c]), (PLANAR, "H", [1]), (PREDICTOR, "H", [predictor]), (SAMPLE_FORMAT, "H", [kind] * c)]
-            if description and not reduced:
-                tags.append((DESCRIPTION, "s", description.encode() + b"\0"))
-            if tile:
-                tags += [(TILE_WIDTH, "I", [tw]), (TILE_HEIGHT, "I", [th]), (TILE_OFFSETS, word, offsets), (TILE_SIZES, word, sizes)]
-            else:
-                tags += [(ROWS_PER_STRIP, "I", [th]), (STRIP_OFFSETS, word, offsets), (STRIP_SIZES, word, sizes)]
-            if subs:
-                tags.append((SUB_IFDS, word, [0] * subs))
-            codes = {"s": 2, "H": 3, "I": 4, "Q": 16}
-            entries, room, sub_at = [], struct.calcsize(word), 0
-            for tag, letter, values in sorted(tags):
-                data = bytes(values) if letter == "s" else struct.pack(f"<{len(values)}{letter}", *values)
-                head = struct.pack(f"<HH{word}", tag, codes[letter], len(values))
-                if len(data) <= room:
-                    entries.append((head, data.ljust(room, b"\0"), tag))
-                else:
-                    f.write(b"\0" * (f.tell() % 2))
-                    if tag == SUB_IFDS:
-                        sub_at = f.tell()
-                    entries.append((head, struct.pack("<" + word, f.tell()), tag))
-                    f.write(data)
-            f.write(b"\0" * (f.tell() % 2))
-            at = f.tell()
-            f.write(struct.pack("<" + count, len(entries)))
-            for head, data, tag in entries:
-                if tag == SUB_IFDS and not sub_at:
-                    sub_at = f.tell() + len(head)
-                f.write(head + data)
-            next_at = f.tell()
-            f.write(b"\0" * room)
-            return at, next_at, sub_at
-
-        def patch(place: int, value: int) -> None:
-            end = f.tell()
-            f.seek(place)
-            f.write(struct.pack("<" + word, value))
-            f.seek(end)
-
-        for p in pages:
-            levels = p if isinstance(p, list) else [p]
-            at, next_at, sub_at = directory(levels[0], False, len(levels) - 1 if subifds else 0)
-            patch(link, at)
-            link = next_at
-            for k, x in enumerate(levels[1:]):
-                at, next_at, _ = directory(x, True, 0)
-                if subifds:
-                    patch(sub_at + k * struct.calcsize(word), at)
+        _write(f, pages, tile, compression, level, predictor, big, subifds, description)
+
+
+def _write(f, pages: list, tile, compression: int, level, predictor: int, big: bool, subifds: bool, description: str) -> None:
+    word, count = ("Q", "Q") if big else ("I", "H")
+    f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
+    link = 8 if big else 4
+
+    def directory(x: np.ndarray, reduced: bool, subs: int) -> tuple[int, int, int]:
+        """Writes tiles and directory; returns its place, that of its link and of its SubIFDs."""
+        x = x[..., None] if x.ndim == 2 else x
+        h, w, c = x.shape
+        th, tw = tile or (min(h, 64), w)
+        offsets, sizes = [], []
+        for y0 in range(0, h, th):
+            for x0 in range(0, w, tw):
+                part = x[y0 : y0 + th, x0 : x0 + tw]
+                if tile:
+                    part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1]), (0, 0)))
+                part = part.astype(part.dtype.newbyteorder("<"))
+                if predictor == 3:
+                    data = arraycodecs.predictor3_encode(part)
                 else:
-                    patch(link, at)
-                    link = next_at
+                    data = (arraycodecs.predictor2_encode(part) if predictor == 2 else part).tobytes()
+                name = SEGMENT_CODES[compression]
+                data = data if name == "none" else ENCODE[name](data, level)
+                offsets.append(f.tell())
+                sizes.append(len(data))
+                f.write(data + b"\0" * (len(data) % 2))
+        kind = {"u": 1, "i": 2, "f": 3}[x.dtype.kind]
+        tags = [(SUBFILE, "I", [int(reduced)]), (WIDTH, "I", [w]), (HEIGHT, "I", [h]), (BITS, "H", [x.dtype.itemsize * 8] * c), (COMPRESSION, "H", [compression]), (PHOTOMETRIC, "H", [2 if c >= 3 else 1]), (SAMPLES, "H", [c]), (PLANAR, "H", [1]), (PREDICTOR, "H", [predictor]), (SAMPLE_FORMAT, "H", [kind] * c)]
+        if description and not reduced:
+            tags.append((DESCRIPTION, "s", description.encode() + b"\0"))
+        if tile:
+            tags += [(TILE_WIDTH, "I", [tw]), (TILE_HEIGHT, "I", [th]), (TILE_OFFSETS, word, offsets), (TILE_SIZES, word, sizes)]
+        else:
+            tags += [(ROWS_PER_STRIP, "I", [th]), (STRIP_OFFSETS, word, offsets), (STRIP_SIZES, word, sizes)]
+        if subs:
+            tags.append((SUB_IFDS, word, [0] * subs))
+        codes = {"s": 2, "H": 3, "I": 4, "Q": 16}
+        entries, room, sub_at = [], struct.calcsize(word), 0
+        for tag, letter, values in sorted(tags):
+            data = bytes(values) if letter == "s" else struct.pack(f"<{len(values)}{letter}", *values)
+            head = struct.pack(f"<HH{word}", tag, codes[letter], len(values))
+            if len(data) <= room:
+                entries.append((head, data.ljust(room, b"\0"), tag))
+            else:
+                f.write(b"\0" * (f.tell() % 2))
+                if tag == SUB_IFDS:
+                    sub_at = f.tell()
+                entries.append((head, struct.pack("<" + word, f.tell()), tag))
+                f.write(data)
+        f.write(b"\0" * (f.tell() % 2))
+        at = f.tell()
+        f.write(struct.pack("<" + count, len(entries)))
+        for head, data, tag in entries:
+            if tag == SUB_IFDS and not sub_at:
+                sub_at = f.tell() + len(head)
+            f.write(head + data)
+        next_at = f.tell()
+        f.write(b"\0" * room)
+        return at, next_at, sub_at
+
+    def patch(place: int, value: int) -> None:
+        end = f.tell()
+        f.seek(place)
+        f.write(struct.pack("<" + word, value))
+        f.seek(end)
+
+    for p in pages:
+        levels = p if isinstance(p, list) else [p]
+        at, next_at, sub_at = directory(levels[0], False, len(levels) - 1 if subifds else 0)
+        patch(link, at)
+        link = next_at
+        for k, x in enumerate(levels[1:]):
+            at, next_at, _ = directory(x, True, 0)
+            if subifds:
+                patch(sub_at + k * struct.calcsize(word), at)
+            else:
+                patch(link, at)
+                link = next_at
 
 
 def ome_xml(axes: str, shape: tuple[int, ...], dtype: np.dtype, channels: list[str] = (), size_um: dict[str, float] | None = None) -> str:
@@ -242,12 +281,8 @@ def ome_xml(axes: str, shape: tuple[int, ...], dtype: np.dtype, channels: list[s
 
 
 def file_reader(path: str):
-    def read_at(at: int, n: int) -> bytes:
-        with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-            f.seek(at)
-            return f.read(n)
-
-    return read_at
+    """Reads of byte ranges of a file on this machine, in a store or on a server."""
+    return storage.open_source(path).read_at
 
 
 _OPS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
@@ -272,41 +307,57 @@ class Pruning(DataSourceReader):
     def keep(self, row: dict) -> bool:
         return all(_OPS[op](row[name], value) for name, op, value in self.tests)
 
+    def keep_each(self, count: int, *names: tuple[str, int]) -> Sequence[int]:
+        """Of the places along an axis those that may be asked for; ``names`` are the columns
+        that tell of it, each with the width of a place."""
+        own = [(op, value, width) for column, op, value in self.tests for name, width in names if column == name]
+        kept = [k for k in range(count) if all(_OPS[op](k * width, value) for op, value, width in own)]
+        # a range needs no more room than its ends
+        return range(kept[0], kept[-1] + 1) if kept and kept[-1] - kept[0] + 1 == len(kept) else kept
+
 
 @dataclass
 class Tiles(InputPartition):
+    """A run of the tiles of a directory that may be asked for: numbers ``first`` to ``last`` of
+    planes, rows and columns."""
+
     path: str
     page: int
     level: int
-    which: list[int]
+    axes: tuple[Sequence[int], Sequence[int], Sequence[int]]
+    first: int
+    last: int
 
 
 class TiffReader(Pruning):
     columns = ("page", "level", "plane", "ty", "tx", "y0", "x0")
 
     def partitions(self):
-        import glob
-
         size = int(self.options.get("tilesPerPartition", 64))
         out = []
-        for path in sorted(glob.glob(self.options["path"])):
-            for page, level, p in read_pages(file_reader(path)):
-                own = [k for k, s in enumerate(p.segments()) if self.keep({"page": page, "level": level, "plane": s[0], "ty": s[1], "tx": s[2], "y0": s[3], "x0": s[4]})]
-                out += [Tiles(path, page, level, own[a : a + size]) for a in range(0, len(own), size)]
-        return out or [Tiles("", 0, 0, [])]
+        for path in storage.list_files(self.options["path"]):
+            for number, level, page in read_pages(file_reader(path)):
+                if number in self.keep_each(number + 1, ("page", 1)) and level in self.keep_each(level + 1, ("level", 1)):
+                    (planes, rows, cols), (th, tw) = page.grid, page.tile_shape
+                    axes = self.keep_each(planes, ("plane", 1)), self.keep_each(rows, ("ty", 1), ("y0", th)), self.keep_each(cols, ("tx", 1), ("x0", tw))
+                    total = math.prod(map(len, axes))
+                    out += [Tiles(path, number, level, axes, a, min(total, a + size)) for a in range(0, total, size)]
+        return out or [Tiles("", 0, 0, ((), (), ()), 0, 0)]
 
     def read(self, part):
-        if not part.which:
+        if part.first >= part.last:
             return
         read_at = file_reader(part.path)
         page = next(p for n, k, p in read_pages(read_at) if (n, k) == (part.page, part.level))
-        segments = list(page.segments())
-        rows = []
-        for k in part.which:
-            plane, ty, tx, y0, x0, h, w, at, n = segments[k]
+        planes, rows, cols = part.axes
+        for k in range(part.first, part.last):
+            k, col = divmod(k, len(cols))
+            where = planes[k // len(rows)], rows[k % len(rows)], cols[col]
+            plane, ty, tx, y0, x0, h, w, at, n = page.segment(*where)
             pixels = page.decode(read_at(at, n), h, w)
-            rows.append({"path": part.path, "page": part.page, "level": part.level, "plane": plane, "ty": ty, "tx": tx, "y0": y0, "x0": x0, "h": h, "w": w, "samples": pixels.shape[2], "dtype": page.dtype.str[1:], "payload": pixels.tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, TIFF_ARROW)
+            row = {"path": part.path, "page": part.page, "level": part.level, "plane": plane, "ty": ty, "tx": tx, "y0": y0, "x0": x0}
+            row |= {"h": h, "w": w, "samples": pixels.shape[2], "dtype": page.dtype.str[1:], "payload": pixels.tobytes()}
+            yield pa.RecordBatch.from_pylist([row], TIFF_ARROW)
 
 
 TIFF_ARROW = pa.schema([("path", pa.string()), *((c, pa.int32()) for c in ("page", "level", "plane", "ty", "tx", "y0", "x0", "h", "w", "samples")), ("dtype", pa.string()), ("payload", pa.binary())])
@@ -314,7 +365,7 @@ TIFF_ARROW = pa.schema([("path", pa.string()), *((c, pa.int32()) for c in ("page
 
 class TiffSource(DataSource):
     """``spark.read.format("tiff").load(path)``: one row per tile with its decoded pixels.
-    Options: ``path`` (a glob of local files), ``tilesPerPartition``."""
+    Options: ``path`` (a pattern of files, or a URL), ``tilesPerPartition``."""
 
     @classmethod
     def name(cls):
