@@ -59,12 +59,13 @@ def levels(path: str, format: str | None = None) -> list[tuple[int, ...]]:
 
 def read_region(path: str, level: int, y: tuple, x: tuple, format: str | None = None) -> np.ndarray:
     """Pixels of a box of one level; only the tiles that it meets are read."""
-    shape = levels(path, format)[level]
-    (y0, y1), (x0, x1) = pyramid.clip(*y, shape[-2]), pyramid.clip(*x, shape[-1])
     if _format(path, format) == "zarr":
-        return (zarr.open_pyramid(path) if zarr.multiscales(path) else [zarr.open_array(path)])[level].read(*[slice(None)] * (len(shape) - 2), slice(y0, y1), slice(x0, x1))
+        array = (zarr.open_pyramid(path) if zarr.multiscales(path) else [zarr.open_array(path)])[level]
+        box = pyramid.clip(*y, array.shape[-2]), pyramid.clip(*x, array.shape[-1])
+        return array.read(*[slice(None)] * (len(array.shape) - 2), *(slice(*b) for b in box))
     read_at = tiff.file_reader(path)
-    return tiff.read_region(read_at, tiff.pyramid_levels(tiff.read_pages(read_at))[level], (y0, y1), (x0, x1))
+    page = tiff.pyramid_levels(tiff.read_pages(read_at))[level]
+    return tiff.read_region(read_at, page, pyramid.clip(*y, page.shape[0]), pyramid.clip(*x, page.shape[1]))
 
 
 def write(path: str, x: np.ndarray, *, format: str | None = None, **options) -> None:

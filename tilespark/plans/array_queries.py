@@ -55,25 +55,80 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x + "'" for x in r) + ")" for r in rows)
 
 
-_CATALOGUE = [(c.name, ",".join(c.aliases), ",".join(c.extensions), c.can_encode, c.can_decode, c.multi_frame, c.chunked, c.parallel_decode) for c in registry.CODECS]
+# The catalogue as the formats define it (what a format allows, not what is
+# installed): name, aliases, suffixes, encode, decode, several frames, chunks, parallel decoding.
+_CATALOGUE = """
+('jxl', 'jpegxl,jpeg-xl', '.jxl', TRUE, TRUE, TRUE, TRUE, FALSE),
+('qoi', '', '.qoi', TRUE, TRUE, FALSE, FALSE, FALSE),
+('zstd', '', '.zst', TRUE, TRUE, FALSE, FALSE, FALSE),
+('lz4', '', '.lz4', TRUE, TRUE, FALSE, FALSE, FALSE),
+('brotli', '', '.br', TRUE, TRUE, FALSE, FALSE, FALSE),
+('blosc2', '', '.b2', TRUE, TRUE, FALSE, FALSE, FALSE),
+('b2nd', 'blosc2nd,blosc2-nd', '.b2nd', TRUE, TRUE, FALSE, FALSE, FALSE),
+('aec', 'ccsds,szip', '.aec', TRUE, TRUE, FALSE, FALSE, FALSE),
+('lerc', '', '.lerc', TRUE, TRUE, FALSE, FALSE, FALSE),
+('zfp', '', '.zfp', TRUE, TRUE, FALSE, FALSE, FALSE),
+('sz3', '', '.sz3', TRUE, TRUE, FALSE, FALSE, FALSE),
+('sperr', '', '.sperr', TRUE, TRUE, FALSE, FALSE, FALSE),
+('brunsli', '', '.brn', TRUE, TRUE, FALSE, FALSE, FALSE),
+('pcodec', 'pco', '.pco', TRUE, TRUE, FALSE, FALSE, FALSE),
+('deflate', 'zlib', '.zlib', TRUE, TRUE, FALSE, FALSE, FALSE),
+('jpeg', 'jpg', '.jpg,.jpeg', TRUE, TRUE, FALSE, FALSE, FALSE),
+('webp', '', '.webp', TRUE, TRUE, FALSE, FALSE, FALSE),
+('jpeg2k', 'j2k,jp2', '.jp2,.j2k,.jpx,.jpc', TRUE, TRUE, FALSE, FALSE, FALSE),
+('avif', '', '.avif', TRUE, TRUE, FALSE, FALSE, FALSE),
+('heif', 'heic', '.heif,.heic', TRUE, TRUE, FALSE, FALSE, FALSE),
+('jpegls', 'jls,charls', '.jls', TRUE, TRUE, FALSE, FALSE, FALSE),
+('mozjpeg', '', '.jpg,.jpeg,.mjpg', TRUE, TRUE, FALSE, FALSE, FALSE),
+('htj2k', 'openjph,jph,j2c', '.j2c,.jph', TRUE, TRUE, FALSE, FALSE, FALSE),
+('lzma', 'xz', '.xz,.lzma', TRUE, TRUE, FALSE, FALSE, FALSE),
+('bz2', 'bzip2', '.bz2', TRUE, TRUE, FALSE, FALSE, FALSE),
+('numpy', 'npy', '.npy', TRUE, TRUE, FALSE, FALSE, FALSE),
+('byteshuffle', '', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('delta', '', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('xor', '', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('floatpred', 'float-pred', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('quantize', '', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('packints', '', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('bcn', 'bc1,bc2,bc3,bc4,bc5,bc6h,bc7,dxt1,dxt3,dxt5', '', FALSE, TRUE, FALSE, FALSE, FALSE),
+('rcomp', 'rice,rice1,ricecomp', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('dicomrle', 'dicom-rle,dcmrle', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('cms', '', '', FALSE, TRUE, FALSE, FALSE, FALSE),
+('gif', '', '.gif', TRUE, TRUE, TRUE, FALSE, FALSE),
+('snappy', '', '.sz', TRUE, TRUE, FALSE, FALSE, FALSE),
+('hdf5', 'hdf', '.h5,.hdf5,.he5', FALSE, TRUE, TRUE, TRUE, FALSE),
+('czi', '', '.czi', FALSE, TRUE, TRUE, TRUE, TRUE),
+('nd2', '', '.nd2', FALSE, TRUE, TRUE, TRUE, FALSE),
+('lif', '', '.lif', FALSE, TRUE, TRUE, FALSE, FALSE),
+('oib', 'oif', '.oib,.oif', FALSE, TRUE, TRUE, FALSE, FALSE),
+('vsi', '', '.vsi', FALSE, TRUE, TRUE, TRUE, FALSE),
+('oir', '', '.oir', FALSE, TRUE, TRUE, TRUE, FALSE),
+('bmp', '', '.bmp,.dib', TRUE, TRUE, FALSE, FALSE, FALSE),
+('png', '', '.png', TRUE, TRUE, FALSE, FALSE, FALSE),
+('bitshuffle', 'bshuf', '', TRUE, TRUE, FALSE, FALSE, FALSE),
+('tiff', 'bigtiff', '.tif,.tiff,.btf', TRUE, TRUE, TRUE, TRUE, FALSE),
+('eer', '', '.eer', FALSE, TRUE, TRUE, TRUE, FALSE)
+"""
+_COLUMNS = "t(name, aliases, extensions, encode, decode, multi_frame, chunked, parallel_decode)"
 
 
-@query(f"SELECT * FROM (VALUES {_values(_CATALOGUE)}) t(name, aliases, extensions, encode, decode, multi_frame, chunked, parallel_decode)")
+@query(f"SELECT * FROM (VALUES {_CATALOGUE}) {_COLUMNS}")
 def list_codecs(spark, sf_dir):
     df = registry.list_codecs(spark)
     return df.select("name", F.array_join("aliases", ",").alias("aliases"), F.array_join("extensions", ",").alias("extensions"), "encode", "decode", "multi_frame", "chunked", "parallel_decode")
 
 
-@query(f"SELECT name FROM (VALUES {_values([(c[0], c[3]) for c in _CATALOGUE])}) t(name, encode) WHERE encode")
+@query(f"SELECT name FROM (VALUES {_CATALOGUE}) {_COLUMNS} WHERE encode")
 def has_codec_op(spark, sf_dir):
     """What the catalogue claims; ``has_codec_backend_op`` has what can be encoded here."""
     return registry.list_codecs(spark).where("encode").select("name")
 
 
-_BACKENDS = [(c.name, c.can_encode, c.encode is not None) for c in registry.CODECS]
+# Codecs that need nothing beyond what is installed.
+_HERE = "('qoi'), ('zstd'), ('lz4'), ('brotli'), ('deflate'), ('lzma'), ('bz2'), ('numpy'), ('byteshuffle'), ('delta'), ('xor'), ('floatpred'), ('quantize'), ('packints'), ('rcomp'), ('dicomrle'), ('gif'), ('snappy'), ('bmp'), ('png'), ('bitshuffle'), ('tiff')"
 
 
-@query(f"SELECT name, encode FROM (VALUES {_values(_BACKENDS)}) t(name, encode, backend) WHERE encode AND backend")
+@query(f"SELECT name, true AS encode FROM (VALUES {_HERE}) t(name)")
 def has_codec_backend_op(spark, sf_dir):
     """Codecs that encode here, with the catalogue's flag."""
     here = [c.name for c in registry.CODECS if registry.has_codec(c.name, "encode")]
@@ -81,7 +136,8 @@ def has_codec_backend_op(spark, sf_dir):
 
 
 _SUFFIXES = [".zst", ".PNG", ".jpg", ".tif", ".czi", ".unknown", ".Jp2", ".btf", "", ".lz4"]
-_BY_SUFFIX = {e: next((c.name for c in registry.CODECS if e.lower() in c.extensions), None) for e in _SUFFIXES}
+# The codecs of these suffixes.
+_BY_SUFFIX = dict(zip(_SUFFIXES, ["zstd", "png", "jpeg", "tiff", "czi", None, "jpeg2k", "tiff", None, "lz4"]))
 
 
 @query(f"SELECT doc_id, 'data/' || source || '/' || doc_id || s AS path, name FROM documents JOIN (VALUES {_values([(i, e, n) for i, (e, n) in enumerate(_BY_SUFFIX.items())])}) t(i, s, name) ON doc_id % 10 = i")

@@ -196,7 +196,7 @@ def exists(path: str) -> bool:
     if (local := local_path(path)) is not None:
         return os.path.exists(local)
     try:
-        open_source(path).read_at(0, 1)
+        open_source(path).size()
     except FileNotFoundError:
         return False
     return True

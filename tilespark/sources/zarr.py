@@ -60,14 +60,6 @@ class Array:
     def grid(self):
         return itertools.product(*(range(-(-s // c)) for s, c in zip(self.shape, self.chunks)))
 
-    def _source(self, index) -> storage.Source | None:
-        try:
-            source = storage.open_source(f"{self.path}/{self.key(index)}")
-            source.read_at(0, 1)
-            return source
-        except FileNotFoundError:
-            return None
-
     def _array(self, data: bytes, codecs, shape) -> np.ndarray:
         axes = list(range(len(shape)))
         for name, config in codecs:
@@ -96,15 +88,17 @@ class Array:
     def pieces(self, index: tuple[int, ...], box: tuple[slice, ...]):
         """(place within the chunk, pixels) of what is stored of a box of a chunk.  Of a shard
         its index is read, and the inner chunks that the box meets."""
-        source = self._source(index)
-        if source is None:
+        try:
+            source = storage.open_source(f"{self.path}/{self.key(index)}")
+            stored = source.size()
+        except FileNotFoundError:
             return
         if self.inner is None:
-            yield tuple(slice(0, c) for c in self.chunks), self._array(source.read_at(0, source.size()), self.codecs, self.chunks)
+            yield tuple(slice(0, c) for c in self.chunks), self._array(source.read_at(0, stored), self.codecs, self.chunks)
             return
         per = [c // i for c, i in zip(self.chunks, self.inner)]
         size = 16 * int(np.prod(per)) + 4 * self.index_checked
-        table = source.read_at(0 if self.index_first else source.size() - size, size)
+        table = source.read_at(0 if self.index_first else stored - size, size)
         table = np.frombuffer(_checked(table) if self.index_checked else table, "<u8").reshape(*per, 2)
         wanted = [w for w in itertools.product(*(range(b.start // i, -(-b.stop // i)) for b, i in zip(box, self.inner))) if table[w][0] != _ABSENT]
         data = source.read_many([(int(table[w][0]), int(table[w][1])) for w in wanted])
@@ -118,7 +112,7 @@ class Array:
             if out is None:
                 out = np.full(self.chunks, self.fill, self.dtype)
             out[place] = part
-        if out is None and self.inner is not None and self._source(index) is not None:
+        if out is None and self.inner is not None and storage.exists(f"{self.path}/{self.key(index)}"):
             return np.full(self.chunks, self.fill, self.dtype)
         return out
 
