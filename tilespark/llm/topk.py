@@ -1,7 +1,8 @@
 """Exact top-k search by inner product.
 
-Vectors are dealt into blocks in descending order of length.  Queries form blocks too and
-meet one block of vectors at a time.  In each meeting:
+Vectors are dealt into blocks in descending order of length, and blocks are taken in rounds,
+the longest first, each round some times as many as the one before.  Queries form blocks
+too and meet one block of vectors at a time.  In each meeting:
 
 * the length bound drops queries whose ``|q| * |v|`` cannot reach their k-th score;
 * both sides are rotated by the corpus' right singular vectors, so that the first
@@ -9,9 +10,10 @@ meet one block of vectors at a time.  In each meeting:
   bound of the rest, ``|q_rest| * |v_rest|``, drop most pairs;
 * what is left is scored exactly, in integers if the components are.
 
-The first block, of the longest vectors, gives every query a k-th score to begin with;
-only what can still beat it comes back from the other blocks.  The singular vectors take
-the second moments of all vectors, summed as ``d * d`` numbers.
+After each round every query has a new k-th score; only what can still beat it (or ties with
+it by a smaller id) comes back from the next, and once no block's length can, the search
+ends.  The singular vectors take the second moments of all vectors, summed as ``d * d``
+numbers.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilespark.llm.common import Scratch
+from tilespark.llm.common import Scratch, small_side, tidy
 
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors and queries in a block, at most, and components of a block's vectors.
+BLOCK, QUERY_BLOCK, BLOCK_VALUES = 4096, 512, 1 << 18
+#: Times as many parts as in the round before.
+GROWTH = 4
 #: Rotated coordinates whose partial sums are taken first: this share of the length.
 HEAD = 0.25
 #: Share of pairs left from which all of a block are scored at once.
@@ -55,7 +59,7 @@ def second_moments(vectors: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["at", "value"])
 
     out = np.zeros(width * width)
-    found = vectors.select("vector").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    found = vectors.select("vector").mapInArrow(tidy(run), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     for r in found:
         out[r["at"]] = r["value"]
     return out.reshape(width, width)
@@ -80,7 +84,7 @@ def _blocks(rows: DataFrame, size: int, id_type: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([most], pa.float64()), lists, vectors, sizes], names=["block", "most", "ids", "data", "sizes"])
                 number += 1
 
-    return rows.mapInArrow(run, f"block long, most double, ids array<{id_type}>, data array<double>, sizes array<int>")
+    return rows.mapInArrow(tidy(run), f"block long, most double, ids array<{id_type}>, data array<double>, sizes array<int>")
 
 
 def _unpack(data: pa.Scalar, sizes: pa.Scalar, width: int) -> np.ndarray:
@@ -95,9 +99,10 @@ def _unpack(data: pa.Scalar, sizes: pa.Scalar, width: int) -> np.ndarray:
     return out
 
 
-def meet(queries: np.ndarray, q_ids: np.ndarray, least: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meet(queries: np.ndarray, q_ids: np.ndarray, least: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, rotation: np.ndarray, k: int, least_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the query, row of the vector, score) of all that can be among the k best of a
-    query, given its k-th score so far (``least``); ties go to the smaller id."""
+    query, given its k-th score so far (``least``); ties go to the smaller id, those with
+    the k-th score too where its id is given (``least_ids``)."""
     head = max(1, int(len(rotation) * HEAD))
     norms = np.sqrt((queries**2).sum(1))
     longest = np.sqrt((vectors**2).sum(1)).max(initial=0.0)
@@ -134,6 +139,9 @@ def meet(queries: np.ndarray, q_ids: np.ndarray, least: np.ndarray, vectors: np.
             score = np.einsum("ij,ij->i", queries[rows[i]], vectors[j])
             good = score >= least[rows[i]]
             i, j, score = i[good], j[good], score[good]
+        if least_ids is not None:
+            ahead = (score > least[rows[i]]) | (v_ids[j] < least_ids[rows[i]])
+            i, j, score = i[ahead], j[ahead], score[ahead]
         best = np.lexsort((order[j], -score, i))  # k best of each query in this block
         i, j, score = i[best], j[best], score[best]
         keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rows)))[i] < k
@@ -169,44 +177,55 @@ def exact_top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
     _, vectors = np.linalg.eigh(moments)  # of X'X: the right singular vectors of X
     rotation = np.ascontiguousarray(vectors[:, ::-1])
 
-    parts = max(1, -(-n // BLOCK))
-    ordered = rows.repartitionByRange(parts, F.col("norm").desc()) if parts > 1 else rows.coalesce(1)
+    size = max(64, min(BLOCK, BLOCK_VALUES // width))
+    # equal lengths are split by the id, so that many of one make several parts
+    ordered = rows.repartitionByRange(max(1, -(-n // size)), F.col("norm").desc(), F.xxhash64("id"))
     # blocks are numbered anew, the longest vectors first
-    blocks = scratch.table(_blocks(ordered.select("id", "vector", "norm"), BLOCK, id_type))
-    top = blocks.orderBy(F.desc("most"), "block").select("block").first()["block"]
+    blocks = scratch.table(_blocks(ordered.select("id", "vector", "norm"), size, id_type).withColumn("part", F.shiftright("block", 32)))
+    lengths = scratch.table(blocks.select("part", "block", "most"))
+    parts = lengths.agg(F.max("part")).first()[0] + 1
     queries = rows.where("is_query").dropDuplicates(["id"]).select("id", "vector", "norm")
-    q_parts = max(1, -(-n_queries // QUERY_BLOCK))
-    queries = _blocks(queries.repartition(q_parts, "id"), QUERY_BLOCK, id_type)
+    q_size = max(16, min(QUERY_BLOCK, size))
+    queries = _blocks(queries.repartition(max(1, -(-n_queries // q_size)), "id"), q_size, id_type)
     queries = scratch.table(queries.select(F.col("block").alias("q_block"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("sizes").alias("q_sizes")))
 
-    def search(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                col = dict(zip(batch.schema.names, batch.columns))
-                for i in range(batch.num_rows):
-                    q = _unpack(col["q_data"][i], col["q_sizes"][i], width)
-                    v = _unpack(col["data"][i], col["sizes"][i], width)
-                    q_ids, v_ids = (np.asarray(col[c][i].values) for c in ("q_ids", "ids"))
-                    least = np.asarray(col["least"][i].values, float)
-                    a, b, score = meet(q, q_ids, least, v, v_ids, rotation, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(v_ids[b]), pa.array(score)], names=["query_id", "id", "score"])
-
-        return pairs.select("q_ids", "q_data", "q_sizes", "ids", "data", "sizes", "least").mapInArrow(run, f"query_id {id_type}, id {id_type}, score double")
-
-    # a query block is sent to each block of vectors by number: a stated query set in blocks
-    numbers = sorted(r["block"] for r in blocks.select("block").collect())
-    none = F.transform("q_ids", lambda _: F.lit(float("-inf")))
-    first = queries.withColumn("least", none).withColumn("block", F.lit(top)).join(blocks, "block")
-    seed = scratch.table(search(first))
-    if len(numbers) > 1:
-        # the k-th score of each query so far, in the order of its block
+    def run(batches):
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                q = _unpack(col["q_data"][i], col["q_sizes"][i], width)
+                v = _unpack(col["data"][i], col["sizes"][i], width)
+                q_ids, v_ids, least_ids = (np.asarray(col[c][i].values) for c in ("q_ids", "ids", "least_ids"))
+                least = np.asarray(col["least"][i].values, float)
+                a, b, score = meet(q, q_ids, least, v, v_ids, rotation, k, least_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(v_ids[b]), pa.array(score)], names=["query_id", "id", "score"])
+
+    def best(found: DataFrame) -> DataFrame:
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        kth = seed.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("query_id", "score")
-        members = queries.select("q_block", F.posexplode("q_ids").alias("at", "query_id")).join(kth, "query_id", "left")
-        least = members.groupBy("q_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("score", F.lit(float("-inf"))).alias("score")))), lambda x: x["score"]).alias("least"))
-        rest = F.array(*map(F.lit, [b for b in numbers if b != top]))
-        pairs = queries.join(least, "q_block").withColumn("block", F.explode(rest))
-        pairs = pairs.join(blocks, "block").where(F.col("q_most") * F.col("most") * (1 + 1e-9) + 1e-9 >= F.array_min("least"))
-        seed = seed.union(search(pairs))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return seed.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    # a query block is sent to each part of the vectors by number: a stated query set in blocks
+    none = F.lit(float("-inf"))
+    top, a, b = None, 0, 1
+    while a < parts:
+        if top is None:
+            known = queries.select("q_block", "q_most", F.transform("q_ids", lambda _: none).alias("least"), F.col("q_ids").alias("least_ids"))
+        else:
+            kth = top.where(F.col("rank") == k).select("query_id", F.col("score").alias("s"), F.col("id").alias("i"))
+            members = queries.select("q_block", "q_most", F.posexplode("q_ids").alias("at", "query_id")).join(kth, "query_id", "left")
+            # without a k-th score the id never decides
+            one = F.struct("at", F.coalesce("s", none).alias("s"), F.coalesce("i", "query_id").alias("i"))
+            known = members.groupBy("q_block", "q_most").agg(F.array_sort(F.collect_list(one)).alias("x")).select("q_block", "q_most", F.col("x.s").alias("least"), F.col("x.i").alias("least_ids"))
+        known = scratch.table(known)
+        # the lengths alone decide which blocks meet, before any vector moves
+        asked = known.select("q_block", "q_most", F.array_min("least").alias("floor"), F.explode(F.sequence(F.lit(a), F.lit(min(b, parts) - 1)).cast("array<bigint>")).alias("part"))
+        pairs = asked.join(small_side(lengths), "part").where(F.col("q_most") * F.col("most") * (1 + 1e-9) + 1e-9 >= F.col("floor")).select("q_block", "block")
+        pairs = scratch.table(pairs)
+        if not pairs.limit(1).count():
+            break  # nor can shorter ones
+        met = pairs.join(known.select("q_block", "least", "least_ids"), "q_block").join(queries, "q_block").join(blocks, "block")
+        found = met.select("q_ids", "q_data", "q_sizes", "ids", "data", "sizes", "least", "least_ids").mapInArrow(tidy(run), f"query_id {id_type}, id {id_type}, score double")
+        merged = scratch.table(best(found if top is None else found.union(top.select("query_id", "id", "score"))))
+        scratch.drop(*([top] if top is not None else []), known, pairs)
+        top, a, b = merged, b, b + GROWTH * (b - a)
+    return top
