@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -11,18 +12,47 @@ from tilespark.llm import licenses, queries
 SCHEMA = "doc_id long, text string, digest string, license int"
 
 
-def canonical(text):
-    x = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    x = re.sub(r"^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", "", x, flags=re.M | re.A)
-    x = "".join(c if c == "\n" or c.isalpha() or c.isnumeric() else " " for c in x)
-    return re.sub(" ?\n ?", "\n", re.sub(" +", " ", x)).strip(" ")
+TALK = {"and", "disclaimer", "holder", "holders", "in", "interest", "interests", "law", "laws", "license", "licence", "licenses", "licences", "notice", "notices", "or", "owner", "owners", "permission", "protection", "statement", "statements", "treaty"}
+OWNERS = re.compile(r"\b(?:19|20)[0-9]{2}\b|\(c\)|©|<year>|\[yyyy\]|\[year\]|\{yyyy\}|\{year\}|\b(?:authors?|by|contributors?|corporation|foundation|inc|ltd)\b", re.A)
 
 
-def digest(text):
-    x = re.sub(r"[ \n]+", " ", canonical(text)).strip(" ")
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def copyright_line(line):
+    """Of a line in lower case."""
+    x = line.lstrip(" \t*#/;%!-")
+    if x.startswith("©") or re.fullmatch(r"all rights reserved[ \t.]*", x):
+        return True
+    if x.startswith("(c)"):
+        return bool(re.search(r"\b(?:19|20)[0-9]{2}\b", x[3:], re.A))
+    m = re.match(r"(?:portions )?copyright\b", x, re.A)
+    if not m:
+        return False
+    rest = x[m.end() :]
+    word = re.match(r"[ \t]+([a-z]+)\b", rest, re.A)
+    return not (word and word[1] in TALK) and bool(OWNERS.search(rest))
+
+
+def canonical(text):
+    x = "\n".join("" if copyright_line(line) else line for line in low(text).split("\n"))
+    x = " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in x).split(" "))
+    x = re.sub(" +", " ", x).strip(" ")
     for a, b in licenses.SPELLINGS:
         x = re.sub(rf"\b{a}\b", b, x, flags=re.A)
-    return hashlib.sha256(x.encode()).hexdigest() if canonical(text) else None
+    return x
+
+
+def digest(text):
+    return hashlib.sha256(canonical(text).encode()).hexdigest() if canonical(text) else None
+
+
+def brute(text):
+    """What the whole text is, and the notices in its lines, by comparing canonical texts."""
+    whole = {canonical(f"{title}\n{t}"): k for k, v in licenses.LICENCES.items() for t in (v, v.replace("http://", "https://")) for title in ("", *licenses.TITLES[k])}
+    known = {canonical(p.format(n)): k for k, names in licenses.NAMES.items() for n in (*names, k) for p in licenses.PHRASES}
+    return whole.get(canonical(text)), sorted({known[c] for c in map(canonical, (text or "").split("\n")) if c in known})
 
 
 def test_scan(spark, tmp_path):
@@ -46,7 +76,7 @@ def test_scan(spark, tmp_path):
     rows = queries.op7_licenses(spark, str(tmp_path)).collect()
     assert len(rows) == len(texts) + 1
     got = {r.doc_id: r for r in rows}
-    want = dict.fromkeys(texts) | {1: "MIT", 3: "MIT", 4: "MIT", 11: "0BSD", 12: "BSD-3-Clause"}
+    want = dict.fromkeys(texts) | {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 11: "0BSD", 12: "BSD-3-Clause"}
     assert {i: r.license for i, r in got.items()} == want
     assert got[9].notices == "Apache-2.0,MIT" and got[10].notices == ""
     for i, t in texts.items():
@@ -60,6 +90,7 @@ def test_table(spark, sf_dir):
     assert len(rows) == len(docs)
     for r in rows:
         assert r.digest == digest(docs[r.doc_id])
+        assert (r.license, r.notices) == (brute(docs[r.doc_id])[0], ",".join(brute(docs[r.doc_id])[1]))
         if "Released under the MIT License." in (docs[r.doc_id] or "").split("\n"):
             assert "MIT" in r.notices.split(",")
 
@@ -81,6 +112,28 @@ def test_long_texts(spark):
     assert [r.want for r in licenses.scan_licenses(df).collect() if r.license != r.want] == []
 
 
+def test_usual_layouts(spark):
+    """Titles, copyright lines, comment signs and line breaks as files have them."""
+    rows = []
+    for k, text in licenses.LICENCES.items():
+        for title in ("", *licenses.TITLES[k]):
+            rows.append((k, f"{title}\n\nCopyright (c) 2020, A. Person <a@b.example>\nAll rights reserved.\n\n{text}"))
+        for width in (40, 60, 72, 80):
+            filled = "\n\n".join(textwrap.fill(part, width) for part in text.split("\n"))
+            rows.append((k, f"{licenses.TITLES[k][0]}\n\nCopyright 1999-2004 B Foundation\n(c) 2001 C\n{filled}"))
+            rows.append((k, "".join(f" * {line}\n" for line in f"Portions Copyright [yyyy] [name]\n{filled}".split("\n"))))
+    df = spark.createDataFrame(rows, "want string, text string")
+    assert [r.text[:60] for r in licenses.scan_licenses(df).collect() if r.license != r.want] == []
+
+
+def test_more_texts_and_clashing_names(spark):
+    more = spark.createDataFrame([("Own-1.0", "You may do as you like."), ("Own-2.0", "you MAY do: as you like"), (None, "x"), ("y", None)], "license string, text string")
+    df = spark.createDataFrame([("Copyright 2020 X\nYou may do as you like!", "a", "b")] * 2 + [(None, "a", "b")], "text string, whole string, notices string")
+    got = licenses.scan_licenses(df, more=more)
+    assert sorted(got.columns) == ["digest", "license", "notices", "text", "whole"]
+    assert sorted((r.license or "", r.whole) for r in got.collect()) == [("", "a"), ("Own-1.0", "a"), ("Own-1.0", "a")]
+
+
 def test_unlicense(spark):
     text = licenses.LICENCES["Unlicense"]
     df = spark.createDataFrame([(t,) for t in (text, "The Unlicense\n\n" + text, text.replace("http:", "https:"))], "text string")

@@ -4,7 +4,7 @@ A text is brought to a canonical form in which what licences may differ in no lo
 shows: letter case, copyright lines, punctuation, white space and equivalent spellings.
 The digest of the whole canonical text is then hash-joined to the digests of known
 licence texts.  One-line notices ("Released under the MIT License.") are known texts too
-and are looked up for each line of a document.
+and are looked up for each line of a document that begins as one of them does.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import fresh, small_side
+
 # Equivalent spellings of the SPDX matching guidelines (whole words).
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
@@ -111,20 +113,29 @@ LICENCES = {
 #: Canonical digests of long licences, from the editions in Debian's /usr/share/common-licenses:
 #: as they stand there, and without the appendix, exhibits or heading.
 DIGESTS = (
-    ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),
-    ("e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca", "Apache-2.0"),
-    ("5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a", "GPL-2.0"),
-    ("5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", "GPL-2.0"),
-    ("88c8e3c4ca10e9f8a2b9a6f92814755437dfa8ef19b34d25a003d9a098b3c105", "GPL-3.0"),
-    ("ed1c85858baf2b42a8ed0fc28f7a7e9e23af7d85338ae49fcc5b66d156f86489", "GPL-3.0"),
+    ("e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", "Apache-2.0"),
+    ("f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0", "Apache-2.0"),
+    ("ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6", "GPL-2.0"),
+    ("a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0", "GPL-2.0"),
+    ("42de4913c0ec220db6e274a84efcdc7a52715762d22943334032232048072bc1", "GPL-3.0"),
+    ("4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b", "GPL-3.0"),
     ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
-    ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", "MPL-2.0"),
-    ("2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04", "MPL-2.0"),
+    ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", "MPL-2.0"),
+    ("075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de", "MPL-2.0"),
     ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
     ("a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32", "CC0-1.0"),
 )
 #: Titles that may stand above a licence.
-TITLES = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "Unlicense": "The Unlicense"}
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "MIT/Expat License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0 License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+}
 #: Names that notices use.
 NAMES = {
     "MIT": ("MIT License", "MIT Licence"),
@@ -141,62 +152,94 @@ NAMES = {
     "Unlicense": ("Unlicense",),
 }
 PHRASES = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This file is licensed under the {}.", "Distributed under the {}.", "SPDX-License-Identifier: {}")
-#: How the lines that may be notices begin, in canonical form: the first words of the phrases.
-NOTICE_START = "^(?:" + "|".join(sorted({re.match("[a-z]+", p.lower()).group() for p in PHRASES})) + r")\b"
-
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What a line is about that begins with "copyright" and is part of a licence, and what only
+#: copyright lines hold: years and their blanks, signs, and who has it.
+_LICENCE_TALK = "and|disclaimer|holders?|in|interests?|laws?|licen[cs]es?|notices?|or|owners?|permission|protection|statements?|treaty"
+_OWNERS = r"\b(?:19|20)[0-9][0-9]\b|\(c\)|©|<year>|\[yyyy\]|\[year\]|\{yyyy\}|\{year\}|\b(?:authors?|by|contributors?|corporation|foundation|inc|ltd)\b"
+#: Lines that a licence may have or lack, in lower case.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t*#/;%!-]*(?:(?:portions )?copyright\b(?![ \t]+(?:" + _LICENCE_TALK + r")\b)(?=[^\n]*(?:" + _OWNERS + r"))[^\n]*"
+    r"|\(c\)[^\n]*\b(?:19|20)[0-9][0-9]\b[^\n]*|©[^\n]*|all rights reserved[ \t.]*)$"
+)
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, punctuation and repeated blanks; line breaks
-    stay.  Letters and digits of all scripts are kept."""
-    x = F.translate(text, UPPER, UPPER.lower())
-    x = F.regexp_replace(x, COPYRIGHT_LINE, "")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", " ")
-    return F.trim(F.regexp_replace(x, r" ?\n ?", "\n"))
+def _alternatives(words: list[str]) -> str:
+    """A pattern of words that looks at each first letter once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + ")"
+
+
+ANY_SPELLING = r"\b" + _alternatives([a for a, _ in SPELLINGS]) + r"\b"
+
+
+def _notice_starts() -> str:
+    """How the lines that may be notices begin: the phrases up to the name, in all spellings
+    and with any punctuation."""
+    out = []
+    for phrase in PHRASES:
+        words = re.findall("[a-z]+", phrase.partition("{")[0].lower())
+        out.append(r"[^\p{L}\p{N}\n]+".join(_alternatives([w, *(a for a, b in SPELLINGS if b == w)]) for w in words))
+    return r"^[^\p{L}\p{N}\n]*(?:" + "|".join(out) + r")\b"
+
+
+NOTICE_START = _notice_starts()
 
 
 def spelled(canon: Column) -> Column:
     """A canonical text with one of each pair of equivalent spellings."""
+    out = canon
     for a, b in SPELLINGS:
-        canon = F.regexp_replace(canon, rf"\b{a}\b", b)
-    return canon
+        out = F.regexp_replace(out, rf"\b{a}\b", b)
+    return F.when(canon.rlike(ANY_SPELLING), out).otherwise(canon)
 
 
-def whole(canon: Column) -> Column:
-    """A canonical text on one line, so that it does not matter where lines break."""
-    return spelled(F.trim(F.regexp_replace(canon, r"\s+", " ")))
+def canonical(text: Column) -> Column:
+    """Lower case on one line, without copyright lines and punctuation, in one of equivalent
+    spellings.  Letters and digits of all scripts are kept."""
+    x = F.regexp_replace(F.translate(text, UPPER, UPPER.lower()), COPYRIGHT_LINE, "")
+    return spelled(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
 
 
-def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def known(spark: SparkSession, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(digest, license) of whole licence texts, and of one-line notices; some hundred rows,
-    whatever the input."""
-    texts = [(k, t) for k, v in LICENCES.items() for u in (v, v.replace("http://", "https://")) for t in (u, f"{TITLES[k]}\n{u}")]
+    whatever the input, and those of ``more`` (license, text)."""
+    texts = [(k, t) for k, v in LICENCES.items() for u in (v, v.replace("http://", "https://")) for t in (u, *(f"{title}\n{u}" for title in TITLES[k]))]
     notices = [(k, p.format(n)) for k, names in NAMES.items() for n in (*names, k) for p in PHRASES]
     out = []
     for rows in (texts, notices):
         df = spark.createDataFrame(rows, "license string, text string")
-        out.append(df.select(F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"), "license").dropDuplicates(["digest"]))
-    long = spark.createDataFrame(DIGESTS, "digest string, license string")
+        if more is not None and rows is texts:
+            df = df.union(more.where("text is not null and license is not null").select("license", "text"))
+        out.append(df.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license")))
+    long = spark.createDataFrame(DIGESTS, "digest string, license string").join(out[0], "digest", "left_anti")
     return out[0].union(long), out[1]
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """``df`` with ``digest`` (of the canonical text; null if nothing is left of it),
     ``license`` (what the whole text is; else null) and ``notices`` (sorted ids that lines
     of it name).
 
-    Null and empty texts match nothing.  Columns of these names are replaced.
+    ``more`` (license, text) adds whole texts to the known ones; a digest that two licences
+    share goes to the id that sorts first.  Null and empty texts match nothing.  Repeated
+    rows give repeated results; an empty table stays empty.  Columns of these names are
+    replaced, all others stay.
     """
     spark = df.sparkSession
-    texts, notices = known(spark)
+    texts, notices = known(spark, more)
     lines = {r["digest"]: r["license"] for r in notices.collect()}
     table = F.create_map(*(F.lit(x) for kv in sorted(lines.items()) for x in kv))
-    src = df.drop("digest", "license", "notices").withColumn("__canon", canonical(F.coalesce(df[text_col], F.lit(""))))
-    one = whole(F.col("__canon"))
-    # only lines that begin as a known notice does are spelled out and digested
-    named = F.filter(F.split("__canon", "\n", -1), lambda x: x.rlike(NOTICE_START))
-    hits = F.transform(named, lambda x: F.try_element_at(table, F.sha2(whole(x), 256)))
-    src = src.withColumns({"digest": F.when(F.col("__canon") != "", F.sha2(one, 256)), "notices": F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())))})
-    return src.drop("__canon").join(F.broadcast(texts), "digest", "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = df.drop("digest", "license", "notices")
+    # only lines that begin as a known notice does are brought to canonical form and digested
+    low = F.translate(text, UPPER, UPPER.lower())
+    named = F.filter(F.split(low, "\n", -1), lambda x: x.rlike(NOTICE_START))
+    hits = F.transform(named, lambda x: F.try_element_at(table, F.sha2(canonical(x), 256)))
+    found = F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())))
+    found = F.when(low.rlike("(?m)" + NOTICE_START), found).otherwise(F.expr("cast(array() as array<string>)"))
+    (whole,) = fresh([*src.columns, "digest", "license", "notices"], "whole")
+    out = src.withColumn(whole, canonical(text)).withColumns({"digest": F.when(F.col(whole) != "", F.sha2(whole, 256)), "notices": found}).drop(whole)
+    return out.join(small_side(texts), "digest", "left")
