@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tilespark.functions.registry import CODECS, BackendUnavailable, Codec, codec_for_bytes, codec_for_path, get_codec, has_codec, list_codecs, register_codec, resolve_codec
 from tilespark.operators import frames, pyramid
-from tilespark.sources import acquisitions, containers, czi, storage, tiff, zarr
+from tilespark.sources import acquisitions, containers, czi, microscopy, storage, tiff, zarr
 
 __all__ = ["BackendUnavailable", "Codec", "codec_for_bytes", "codec_for_path", "get_codec", "has_codec", "info", "list_codecs", "open", "open_pyramid", "read", "read_region", "reduce_files", "reduce_frames", "register_codec", "resolve_codec", "write"]
 
-_SUFFIX = {e: c.name for c in reversed(CODECS) for e in c.extensions} | {".fits": "fits", ".fit": "fits", ".index": "ndtiff", ".svs": "tiff", ".ndpi": "tiff", ".scn": "tiff", ".qptiff": "tiff", ".zarr": "zarr"}
+_SUFFIX = {e: c.name for c in reversed(CODECS) for e in c.extensions} | {".hdr": "hdr", ".fits": "fits", ".fit": "fits", ".index": "ndtiff", ".svs": "tiff", ".ndpi": "tiff", ".scn": "tiff", ".qptiff": "tiff", ".zarr": "zarr"}
 
 
 def _format(path: str, fmt: str | None) -> str:
@@ -33,7 +33,7 @@ def read(spark: SparkSession, path: str, *, format: str | None = None, **options
     if kind in ("tiff", "zarr"):
         containers.register(spark)
         return spark.read.format(kind).options(**options).option("path", path).load()
-    readers = {"fits": containers.read_fits, "ndtiff": containers.read_ndtiff_index, "czi": czi.read_czi, "eer": czi.read_eer, "lif": acquisitions.read_lif, **dict.fromkeys(("png", "bmp", "qoi", "gif"), containers.read_images)}
+    readers = {"fits": containers.read_fits, "ndtiff": containers.read_ndtiff_index, "czi": czi.read_czi, "eer": czi.read_eer, "lif": acquisitions.read_lif, "nd2": microscopy.read_nd2, "oib": microscopy.read_oib, "vsi": microscopy.read_vsi, **dict.fromkeys(("png", "bmp", "qoi", "gif", "hdr"), containers.read_images)}
     if kind in readers:
         return readers[kind](spark, path)
     raise BackendUnavailable(f"{kind}: no backend installed")

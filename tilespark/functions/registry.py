@@ -80,6 +80,20 @@ def _lif_decode(data):
     return [x for _, x in lif_images(data)]
 
 
+def _nd2_decode(data):
+    """The frames."""
+    from tilespark.sources.microscopy import nd2_frames
+
+    return [x for _, x in nd2_frames(bytes(data))]
+
+
+def _oib_decode(data):
+    """The planes, the channel slowest."""
+    from tilespark.sources.microscopy import oib_frames
+
+    return [x for _, x in oib_frames(bytes(data))]
+
+
 # Names, aliases, suffixes and magic bytes in order of precedence.
 CODECS: list[Codec] = [
     _absent("jxl", ("jpegxl", "jpeg-xl"), (".jxl",), ("u1", "u2", "f2", "f4"), (_at("FF0A"), _at("0000000C4A584C20")), multi_frame=True, chunked=True),
@@ -122,10 +136,10 @@ CODECS: list[Codec] = [
     _byte("snappy", (), (".sz",)),
     _absent("hdf5", ("hdf",), (".h5", ".hdf5", ".he5"), ("u1", "u2", "i2", "i4", "f4", "f8"), (_at("894844460D0A1A0A"),), can_encode=False, multi_frame=True, chunked=True),
     Codec("czi", (), (".czi",), ("u1", "u2", "f4"), decode=_czi_decode, magic=(_at("5A495352415746494C45"),), can_encode=False, multi_frame=True, chunked=True, parallel_decode=True),
-    _absent("nd2", (), (".nd2",), ("u1", "u2", "i2", "f4"), (_at("DACEBE0A"), _at("DABCD83E")), can_encode=False, multi_frame=True, chunked=True),
+    Codec("nd2", (), (".nd2",), ("u1", "u2", "i2", "f4"), decode=_nd2_decode, magic=(_at("DACEBE0A"), _at("DABCD83E")), can_encode=False, multi_frame=True, chunked=True),
     Codec("lif", (), (".lif",), ("u1", "u2"), decode=_lif_decode, magic=(_at("70000000"),), can_encode=False, multi_frame=True),
-    _absent("oib", ("oif",), (".oib", ".oif"), ("u1", "u2", "u4"), (_at("D0CF11E0A1B11AE1"),), can_encode=False, multi_frame=True),
-    _absent("vsi", (), (".vsi",), ("u1", "u2", "f4"), (_at("49492A00"), _at("4D4D002A")), can_encode=False, multi_frame=True, chunked=True),
+    Codec("oib", ("oif",), (".oib", ".oif"), ("u1", "u2", "u4"), decode=_oib_decode, magic=(_at("D0CF11E0A1B11AE1"),), can_encode=False, multi_frame=True),
+    Codec("vsi", (), (".vsi",), ("u1", "u2", "f4"), decode=_tiff_decode, magic=(_at("49492A00"), _at("4D4D002A")), can_encode=False, multi_frame=True, chunked=True),
     _absent("oir", (), (".oir",), ("u1", "u2"), (_at("4F4C594D505553524157464F524D4154"),), can_encode=False, multi_frame=True, chunked=True),
     Codec("bmp", (), (".bmp", ".dib"), encode=images.bmp_encode, decode=images.bmp_decode, magic=(_at("424D"),)),
     Codec("png", (), (".png",), ("u1", "u2"), encode=images.png_encode, decode=images.png_decode, magic=(_at("89504E470D0A1A0A"),)),

@@ -18,7 +18,7 @@ from tilespark.functions import arraycodecs, bytecodecs, checksums, colour, imag
 from tilespark.operators import frames, pyramid, ranges
 from tilespark.plans.array_queries import CELLS, ORACLES, QUERIES, query, table
 from tilespark.session import scratch_folder
-from tilespark.sources import acquisitions, containers, czi, tiff, zarr
+from tilespark.sources import acquisitions, containers, czi, microscopy, tiff, zarr
 
 RANKED = CELLS + ", k AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS r FROM cells)"
 MOSAIC = RANKED + ", m AS (SELECT label, r, 8 * (r // 4) + y AS y, 8 * (r % 4) + x AS x, v FROM k)"
@@ -52,7 +52,7 @@ def _mosaic(x: np.ndarray) -> np.ndarray:
     return out.reshape(rows, 4, 8, 8).swapaxes(1, 2).reshape(8 * rows, 32)
 
 
-def _label(path: str = "path", pattern: str = r"/(\d+)\.[a-z]+$") -> Column:
+def _label(path: str = "path", pattern: str = r"/(\d+)\.[a-z0-9]+$") -> Column:
     return F.regexp_extract(path, pattern, 1).cast("int").alias("label")
 
 
@@ -334,6 +334,63 @@ def frame_count(spark, sf_dir):
     return frames.frame_count(_gifs(spark, sf_dir).select(_label()), ["label"])
 
 
+def _stored(spark, sf_dir, name: str, encode) -> str:
+    """The folder of one file ``<label>.<name>`` for each label."""
+
+    def write(path, label, x, _):
+        with open(f"{path}.{name}", "wb") as out:
+            out.write(encode(label, x))
+
+    return _written(spark, sf_dir, name, write)
+
+
+def _axis(name: str) -> Column:
+    return F.col("axes").getItem(name).cast("int").alias(name)
+
+
+@query(RANKED + "SELECT label, r AS frame, y, x, v FROM k")
+def nd2_frames(spark, sf_dir):
+    """Frames by the map of chunks, packed and plain."""
+    folder = _stored(spark, sf_dir, "nd2", lambda label, x: microscopy.nd2_encode(list(x), packed=bool(label % 2)))
+    df = api.read(spark, f"{folder}/*.nd2")
+    return _whole(frames.payload_cells(df, F.col("width"), [_label(), F.col("frame").cast("int").alias("frame")])).drop("c")
+
+
+def _oib(spark, sf_dir) -> str:
+    return _stored(spark, sf_dir, "oib", lambda _, x: microscopy.oib_encode({(k % 2, k // 2 % 3, k // 6): f for k, f in enumerate(x)}))
+
+
+@query(RANKED + "SELECT label, CAST(r % 2 AS INT) AS c, CAST(r // 2 % 3 AS INT) AS z, CAST(r // 6 AS INT) AS t, y, x, v FROM k")
+def oib_planes(spark, sf_dir):
+    """Planes in the streams of compound files, by channel, depth and time."""
+    df = api.read(spark, f"{_oib(spark, sf_dir)}/*.oib").select("path", "payload", "dtype", "width", _axis("c").alias("channel"), _axis("z"), _axis("t"))
+    cells = _whole(frames.payload_cells(df, F.col("width"), [_label(), "channel", "z", "t"]))
+    return cells.select("label", F.col("channel").alias("c"), "z", "t", "y", "x", "v")
+
+
+@query("SELECT label, count(*) + 2 AS streams FROM embeddings GROUP BY label")
+def ole_streams(spark, sf_dir):
+    return microscopy.list_streams(spark, f"{_oib(spark, sf_dir)}/*.oib").groupBy(_label()).agg(F.count(F.lit(1)).alias("streams"))
+
+
+@query(RANKED + "SELECT label, CAST(r // 16 AS INT) AS file, CAST(r % 16 AS INT) AS plane, y, x, v FROM k")
+def vsi_planes(spark, sf_dir):
+    """Planes of the companions of an index, found by its name."""
+
+    def write(path, label, x, _):
+        import os
+
+        api.write(f"{path}.vsi", x[0], format="tiff")
+        for k in range(0, len(x), 16):
+            folder = f"{path.rpartition('/')[0]}/_{label}_/stack{10000 + k // 16}"
+            os.makedirs(folder)
+            with open(f"{folder}/frame_t_0.ets", "wb") as out:
+                out.write(microscopy.ets_encode(x[k : k + 16]))
+
+    df = api.read(spark, f"{_written(spark, sf_dir, 'vsi', write)}/*.vsi")
+    return _whole(frames.payload_cells(df, F.col("width"), [_label(), _axis("file"), _axis("plane")])).drop("c")
+
+
 # --- images and array codecs ----------------------------------------------------------
 def _coded(name: str, encode, decode, dtype: str, shape: tuple[int, ...], head: str) -> None:
     """Frame by frame: the first bytes of what is stored, and the numbers that come back."""
@@ -523,7 +580,7 @@ def get_codec(spark, sf_dir):
 
 
 # Codecs of the catalogue whose libraries are not installed.
-@query("SELECT * FROM (VALUES ('aec'), ('avif'), ('b2nd'), ('blosc2'), ('brunsli'), ('cms'), ('hdf5'), ('heif'), ('htj2k'), ('jpeg'), ('jpeg2k'), ('jpegls'), ('jxl'), ('lerc'), ('mozjpeg'), ('nd2'), ('oib'), ('oir'), ('pcodec'), ('sperr'), ('sz3'), ('vsi'), ('webp'), ('zfp')) t(name)")
+@query("SELECT * FROM (VALUES ('aec'), ('avif'), ('b2nd'), ('blosc2'), ('brunsli'), ('cms'), ('hdf5'), ('heif'), ('htj2k'), ('jpeg'), ('jpeg2k'), ('jpegls'), ('jxl'), ('lerc'), ('mozjpeg'), ('oir'), ('pcodec'), ('sperr'), ('sz3'), ('webp'), ('zfp')) t(name)")
 def absent_backends(spark, sf_dir):
     """Codecs that raise with a clear message when they are used."""
     return registry.list_codecs(spark).where("not encodes and not decodes").select("name")
