@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join with no more rows than this may be broadcast (rows of a few
@@ -30,6 +30,13 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def settled(value: Column) -> Column:
+    """The same value.  A filter on what depends on it stays behind it, as a test of random
+    numbers can not be moved; else Spark writes the value out again wherever the filter uses it.
+    (One random number against a constant would be optimised away.)"""
+    return F.when(F.rand(0) + F.rand(1) > -1, value)
+
+
 def let_go() -> None:
     """Gives freed memory of a Python worker back; workers outlive the stage they began in."""
     pa.default_memory_pool().release_unused()

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import fresh, settled
+
 BLANK = r"[ \t-\r]+"
 #: Labelled rows that rules are learned from, at most: those of the smallest hash of id.
 LABELLED_ROWS = 6000
@@ -43,19 +45,21 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the columns ``STATISTICS`` (long); columns of these names are replaced.
 
     Words are separated by ASCII white space.  ``n_repeat_words`` counts the words in
-    8-word windows that occur twice or more in the text.  A null text has no words.
+    8-word windows that occur twice or more in the text.  A null text has no words.  All
+    other columns stay, whatever their names.
     """
     text = F.coalesce(df[text_col], F.lit(""))
+    word_list, line_list, hashes, by_hash = fresh([*df.columns, *STATISTICS], "words", "lines", "windows", "sorted")
     out = df.select(
         *(df[c] for c in df.columns if c not in STATISTICS),
-        F.filter(F.split(text, BLANK, -1), lambda w: w != "").alias("__words"),
-        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]")).alias("__lines"),
+        F.filter(F.split(text, BLANK, -1), lambda w: w != "").alias(word_list),
+        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]")).alias(line_list),
         _without(text, "#*$%&|<>").alias("n_symbols"),
         _without(text, "A-Z").alias("n_upper"),
         _without(text, "0-9").alias("n_digits"),
         _without(text, "!?").alias("n_exclaims"),
     )
-    words, lines = F.col("__words"), F.col("__lines")
+    words, lines = F.col(word_list), F.col(line_list)
     out = out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
@@ -63,16 +67,16 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             "n_distinct": F.size(F.array_distinct(words)).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "__windows": F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.xxhash64(F.slice(words, i, F.lit(8))))),
+            hashes: F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.xxhash64(F.slice(words, i, F.lit(8))))),
         }
     )
-    windows = F.col("__windows")
+    windows = F.col(hashes)
     # only a text with a repeated window needs its places sorted
-    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn(by_hash, F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     pairs = F.arrays_zip(
-        F.col("__sorted").alias("x"),
-        F.concat(F.array(F.lit(None).cast("long")), F.transform("__sorted", lambda s: s["h"])).alias("before"),
-        F.slice(F.transform("__sorted", lambda s: s["h"]), F.lit(2), F.greatest(F.lit(1), F.size("__sorted"))).alias("after"),
+        F.col(by_hash).alias("x"),
+        F.concat(F.array(F.lit(None).cast("long")), F.transform(by_hash, lambda s: s["h"])).alias("before"),
+        F.slice(F.transform(by_hash, lambda s: s["h"]), F.lit(2), F.greatest(F.lit(1), F.size(by_hash))).alias("after"),
     )
     places = F.array_sort(F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & (p["x"]["h"].eqNullSafe(p["before"]) | p["x"]["h"].eqNullSafe(p["after"]))), lambda p: p["x"]["i"]))
     zero = F.lit(0)
@@ -82,8 +86,8 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a, i: F.struct((a["n"] + (i + 8) - F.greatest(i, a["end"])).alias("n"), (i + 8).alias("end")),
         lambda a: a["n"],
     )
-    out = out.withColumn("n_repeat_words", F.when(F.col("__sorted").isNotNull(), covered).otherwise(0).cast("long"))
-    return out.drop("__words", "__lines", "__windows", "__sorted")
+    out = out.withColumn("n_repeat_words", settled(F.when(F.col(by_hash).isNotNull(), covered).otherwise(0).cast("long")))
+    return out.drop(word_list, line_list, hashes, by_hash)
 
 
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
@@ -157,7 +161,13 @@ def learn(rows: list[tuple[dict, bool]], *, rules: int = 8, conditions: int = 4,
 
 
 def learn_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED_ROWS) -> list[Rule]:
-    """Rules for documents labelled 0, from at most ``most`` labelled rows."""
+    """Rules for documents labelled 0, from at most ``most`` labelled rows.
+
+    Rows with a null id or label teach nothing, nor do labels without a document; a null
+    text is an empty one.  A document that is labelled twice counts twice, under either
+    label if they conflict, and so do repeated documents.  Without documents or labels, or
+    with labels of one kind, there are no rules.
+    """
     picked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), (labels[label_col] == 0).alias("bad"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(most)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")
@@ -168,7 +178,12 @@ def learn_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def judge(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """``df`` with the statistics, ``base_failed``, the number of the rule that rejects the
-    row (from 1; null if none does) and ``kept``."""
+    row (from 1; null if none does) and ``kept``.
+
+    The first rule that fits decides.  Null and empty texts have no words and fail the base.
+    A row is judged by its text alone, so repeated rows agree; an empty table stays empty.
+    Columns of these names are replaced, all others stay.
+    """
     out = with_statistics(df, text_col).withColumn("base_failed", F.expr(BASE_FAILED))
     which = "cast(null as int)"
     if rules:
