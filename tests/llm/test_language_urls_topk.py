@@ -64,6 +64,59 @@ def test_language_of_odd_rows(spark, tmp_path):
     assert language.identify(blank.limit(0), language.fit(blank)).collect() == []
 
 
+def by_hand(net, text):
+    """Mean distribution over a text's positions, one position and one gate at a time."""
+    h_size, total = net.c.shape[1], np.zeros(len(net.labels))
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(data, k):
+        h, out = np.zeros(h_size), []
+        for byte in data:
+            x = net.x[k, byte].astype(float)
+            gates = logistic(x[: 2 * h_size] + h @ net.u[k])
+            z, r = gates[:h_size], gates[h_size:]
+            n = np.tanh(x[2 * h_size :] + (r * h) @ net.c[k])
+            h = (1 - z) * h + z * n
+            out.append(h)
+        return out
+
+    for a in range(0, len(text), language.STRIP):
+        window = [text[i] if 0 <= i < len(text) else 32 for i in range(a - language.CONTEXT, a + language.STRIP + language.CONTEXT)]
+        there, back = states(window, 0), states(window[::-1], 1)[::-1]
+        for i in range(a, min(len(text), a + language.STRIP)):
+            k = i - a + language.CONTEXT
+            logits = np.concatenate([there[k], back[k]]) @ net.w + net.b
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_pooled_probabilities_by_hand():
+    net = language.Network.fresh(["a", "b", "c"], hidden=3, seed=5)
+    rnd = random.Random(9)
+    texts = [bytes(rnd.randrange(32, 250) for _ in range(n)) for n in (0, 1, 15, 127, 128, 129, 300, 700)]
+    for lanes in (3, 2048):
+        language.LANES, kept = lanes, language.LANES
+        got = language.pooled(net, texts)
+        language.LANES = kept
+        assert np.abs(got - np.stack([by_hand(net, x) for x in texts])).max() < 1e-5
+
+
+def test_labels_of_the_table_by_hand(spark, sf_dir):
+    """``lang_pred`` and ``score`` of short texts of the table, beside columns of clashing names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = language.fit(docs)
+    few = docs.where("length(text) < 400").withColumns({"label": F.lit("x"), "score": F.lit("y"), "__letter": F.lit("z")})
+    rows = language.identify(few, net).collect()
+    assert rows and {(r.label, r["__letter"]) for r in rows} == {("x", "z")}
+    for r in rows:
+        if any(c.isalpha() for c in r.text):
+            p = by_hand(net, r.text.encode())
+            assert abs(r.score - p.max()) < 1e-4 and p[net.labels.index(r.lang_pred)] > p.max() - 1e-4
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -101,6 +154,20 @@ def test_urls_of_the_table(spark, sf_dir):
     check_urls(queries.op3_url_filter(spark, sf_dir).collect(), pages)
 
 
+def test_rules_do_not_decide_beyond_themselves(spark):
+    """Ends of hosts that rules name have no statistics, and what no rule decides is blocked
+    on evidence only."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    src = urls.with_parts(pages)
+    verdict = urls.rule_columns()[1]
+    trees = urls.fit(src, "url", verdict == "block", blind=urls.named_suffixes())
+    assert urls.named_suffixes() == {"com", "net"} and not {"com", "net"} & set(trees.rates)
+    got = urls.judge_urls(pages.withColumn("f_length", F.lit("mine"))).collect()
+    open_ = [r for r in got if r.rule is None]
+    assert {r.f_length for r in got} == {"mine"} and 0 < len(open_)
+    assert sum(r.verdict == "block" for r in open_) <= 0.3 * len(open_)
+
+
 def test_odd_urls(spark, tmp_path):
     odd = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/", "http://example.com/en", "http://x.example.com/en/?q#f", "a://b.net/es/://c.com/", "http://É.Net/fr/1", "http://notcom/", "http://com/", "http://net?/es/", "http://h#/x", "http://a.com\n/x", "http://u:p@b.com:80/z?a=1&b=2", "http://e.com/" + "x" * 50_000]
     pages = dict(enumerate(odd))
