@@ -142,8 +142,7 @@ def test_overlaps_and_joining_edges():
     assert similarity.joining(a, b) == [0, 1, 4, 5]
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_a_family_gives_links_in_proportion(spark, monkeypatch, percent):
+def test_a_family_gives_links_in_proportion(spark, monkeypatch, percent=90):
     """Near copies, many of them just below the similarity: what the comparisons return grows
     with the family, not with its pairs."""
     made = []
