@@ -1,6 +1,7 @@
 """Secret scans and quality rules against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -158,3 +159,91 @@ def test_values_after_an_equals_sign(spark):
     assert got <= whole and len(got) >= 54
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert sum(clean[i] == names[i % 3] + "[REDACTED]" for i in clean) >= 54
+
+
+def identifiers(rnd, n):
+    """Ordinary strings of letters and digits such as texts are full of."""
+    w = "the river some words user account section item report final image photo order invoice summary draft notes project chapter page table data model train".split()
+    kinds = [
+        lambda: "-".join(rnd.choices(w, k=3)) + f"-{rnd.randint(2000, 2025)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}",
+        lambda: f"IMG_{rnd.randint(2000, 2025)}0{rnd.randint(1, 9)}{rnd.randint(10, 28)}_{rnd.randint(0, 235959):06d}_{rnd.choice(w)}",
+        lambda: "_".join(rnd.choices(w, k=4)) + f"_v{rnd.randint(1, 20)}",
+        lambda: "/".join(rnd.choices(w, k=4)) + f"/{rnd.randint(1, 99999)}",
+        lambda: "".join(x.capitalize() for x in rnd.choices(w, k=5)) + str(rnd.randint(1, 999)),
+        lambda: f"order-{rnd.randint(10**9, 10**10)}-{rnd.randint(10**5, 10**6)}-{rnd.choice(w)}",
+    ]
+    return [x for x in (rnd.choice(kinds)() for _ in range(2 * n)) if len(x) >= 20][:n]
+
+
+def test_precision_and_recall_on_a_whole_table(spark):
+    """Planted keys and planted ordinary strings, one of either in every document."""
+    rnd = random.Random(13)
+    alphabets = ["0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    plain = identifiers(rnd, len(docs))
+    rows, keys = [], set()
+    for (i, text), name in zip(docs, plain):
+        alphabet, n = rnd.choice(alphabets), rnd.choice([24, 32, 40, 64])
+        key = "".join(rnd.choice(alphabet) for _ in range(n))
+        head = f"{text[: len(text) // 2]} {name} "
+        keys.add((i, len(head), len(head) + n))
+        rows.append((i, f"{head}{key} {text[len(text) // 2 :]}", "", 1, 1))
+    found = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA).repartition(4)).select("doc_id", "spans").collect()
+    got = {(r.doc_id, x.start, x.end) for r in found for x in r.spans if x.kind == "random"}
+    assert len(got & keys) >= 0.9 * len(keys)
+    assert len(got - keys) <= 0.1 * len(got)
+
+
+def test_threshold_rises_with_ordinary_strings():
+    even = [0] * (secrets.MOST_STEPS + 1)
+    for k in range(120):
+        even[k] = round(10_000 * (10 ** (-k / secrets.STEPS) - 10 ** (-(k + 1) / secrets.STEPS)))
+    first = round(-math.log10(secrets.LEAST_P) * secrets.STEPS)
+    assert secrets.threshold(even, 0.1) == first and secrets.threshold([0] * len(even), 0.1) == first
+    mixed = [n + (400 if k >= 40 else 0) for k, n in enumerate(even)]
+    assert 30 <= secrets.threshold(mixed, 0.1) < first
+    ordinary = [n if k < 12 else n + 10_000 for k, n in enumerate(even)]
+    assert secrets.threshold(ordinary, 0.1) <= 13
+
+
+def test_secrets_of_odd_tables(spark):
+    key = "KasaoSe1Nyez9gLghPyAAX7lbEJywO6O"
+    df = spark.createDataFrame([(1, f"a {key} b", "mine", 7, 8)] * 3 + [(None, None, None, None, None), (2, "", "", 1, 1)], SCHEMA)
+    df = df.withColumnsRenamed({"n_words": "base", "rule": "found"})
+    out = secrets.find_secrets(df, out_col="x")
+    assert out.columns == [*df.columns, "x"]
+    rows = out.collect()
+    assert [[(x.start, x.end, x.kind) for x in r.x] for r in rows if r.doc_id == 1] == [[(2, 34, "random")]] * 3
+    assert {(r.spans, r.base, r.found) for r in rows if r.doc_id == 1} == {("mine", 7, 8)}
+    assert [r.x for r in rows if r.doc_id != 1] == [[], []]
+    assert secrets.find_secrets(df.limit(0), out_col="x").collect() == [] and secrets.redact(df.limit(0)).collect() == []
+    assert {r.spans for r in secrets.redact(df).collect()} == {"mine", None, ""}
+
+
+def test_quality_of_odd_tables(spark):
+    schema = "doc_id long, text string, words string, sorted string, quality int"
+    good, bad = "Plain words stand in this text, one after another. " * 5, "XX 11 YY 22 ## 33 ZZ ** " * 8
+    rows = [(i, (good if i % 2 else bad) + f"number {i}", "w", "s", i % 2) for i in range(300)]
+    rows += [(0, rows[0][1], "w", "s", 1), (0, rows[0][1], "w", "s", 0), (None, good, "w", "s", 0), (900, None, "w", "s", 0), (901, good, "w", "s", None)]
+    df = spark.createDataFrame(rows, schema)
+    rules = quality.learn_from(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert rules
+    out = quality.judge(df, rules)
+    assert {"words", "sorted", "quality"} <= set(out.columns)
+    judged = out.collect()
+    assert {(r.words, r.sorted) for r in judged} == {("w", "s")} and len(judged) == len(rows)
+    assert len({r.kept for r in judged if r.doc_id == 0}) == 1
+    assert not any(r.kept for r in judged if r.text is None)
+    assert quality.judge(df.limit(0), rules).collect() == []
+    assert quality.learn_from(df.limit(0), df) == [] and quality.learn_from(df, df.limit(0)) == []
+
+
+def test_rules_hold_on_labels_they_were_not_learned_from(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rules = quality.learn_from(docs, labels.where(~held))
+    judged = quality.judge(docs.join(labels.where(held & F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id"), rules).where("not base_failed").collect()
+    good, bad = ([r.kept for r in judged if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.97 * len(good)
+    assert len(bad) - sum(bad) >= 0.5 * len(bad)

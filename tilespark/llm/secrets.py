@@ -5,22 +5,33 @@ from a random generator.  For each candidate an encoding is inferred from its ch
 (hex, base32, base36, base64), which gives the alphabet; three tests of the hypothesis
 "drawn at random from it" follow:
 
-* chi-squared: are the characters as even as the alphabet asks;
-* runs: does the string change between the alphabet's halves as often as it should;
+* chi-squared: are the characters as even as the alphabet asks; while a character is
+  expected fewer than five times, they are counted in cells (vowels and consonants of
+  either case, digits and signs);
+* runs: does the string change between small and capital letters, digits and signs as
+  often as it should;
 * serial correlation: does a character say anything about the next.
 
-Fisher's method combines the p-values.  Rejecting randomness is a discovery, "this is
-ordinary text", and Benjamini-Hochberg controls the share of false ones over the whole
-corpus, separately in bands of length since the tests' power grows with it.  What is not
-rejected is reported.  Only counts in a table of fixed size (bands by steps of log p)
-reach the driver.
+Fisher's method combines the p-values into one that is even between 0 and 1 for random
+strings and close to 0 for ordinary ones.  A reported string is a discovery, a false one
+if it is ordinary, and the share of false ones is held down over the whole corpus,
+separately in bands of length since the tests' power grows with it.  Ordinary strings
+hardly reach the upper half of the p-values, so the number there tells how many random
+ones there are at any p; what a band holds beyond that number above its threshold is
+ordinary.  The threshold begins at ``LEAST_P``, which loses one random string in a
+thousand, and rises until the ordinary share, less its error of estimation, is below the
+rate.  Only counts in a table of fixed size (bands by steps of log p) reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import fresh, settled
+
 # The base patterns, their kinds in order, and the least length of each.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -36,6 +47,8 @@ LEAST_BITS = 80
 BANDS = (32, 48, 80)
 #: Steps of p-values per factor of ten, and their number.
 STEPS, MOST_STEPS = 20, 400
+#: Random strings with a lower p-value are given up; the least of the upper half.
+LEAST_P, UPPER_P = 1e-3, 10 ** (-6 / STEPS)
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0, keep_text: bool = False) -> Column:
@@ -84,6 +97,10 @@ def _log_p(z: Column, two_sided: bool) -> Column:
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
+#: Cells that characters are counted in, and their kinds.
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+CELLS = (_VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(), _DIGITS + "+/")
+_KINDS = (_DIGITS, _LOWER, _LOWER.upper(), "+/")
 _ALPHABETS = (
     ("hex", r"[0-9a-f]*[0-9][0-9a-f]*", _DIGITS + "abcdef"),
     ("HEX", r"[0-9A-F]*[0-9][0-9A-F]*", _DIGITS + "ABCDEF"),
@@ -105,32 +122,48 @@ def _alphabet(token: Column) -> Column:
     return out
 
 
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of a text are among ``chars``."""
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
+
+
+def _total(values: list[Column]) -> Column:
+    out = values[0]
+    for v in values[1:]:
+        out = out + v
+    return out
+
+
 def p_value(token: Column) -> Column:
     """Combined p-value of "random in its inferred encoding"; null without an encoding or
     with fewer bits than ``LEAST_BITS`` (14 characters are too few in any alphabet)."""
     clean = F.translate(F.rtrim(F.translate(token, "=", " ")), "-_ ", "+/")
 
-    def of(x):  # x: chars, alphabet
-        chars, alphabet = x["chars"], x["alphabet"]
+    def of(x):  # x: chars, alphabet, text
+        chars, alphabet, text = x["chars"], x["alphabet"], x["text"]
         n, k = F.size(chars).cast("double"), F.length(alphabet).cast("double")
-        df = k - 1
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        z1 = (F.pow(F.greatest(squares * k / n - n, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        # cells: what is in the string, what is in the alphabet
+        cells = [(_count(text, c), _count(alphabet, c)) for c in CELLS]
+        merged = _total([F.when(size > 0, F.pow(o - n * size / k, F.lit(2.0)) * k / (n * size)).otherwise(0.0) for o, size in cells])
+        df = F.when(n >= 5 * k, k).otherwise(_total([F.when(size > 0, 1.0).otherwise(0.0) for _, size in cells])) - 1
+        chi = F.greatest(F.when(n >= 5 * k, squares * k / n - n).otherwise(merged), F.lit(1e-9))
+        z1 = _let(F.struct(chi.alias("c"), df.alias("d")), lambda v: (F.pow(v["c"] / v["d"], F.lit(1 / 3)) - (1 - 2 / (9 * v["d"]))) / F.sqrt(2 / (9 * v["d"])))
         # places in the alphabet, from 0; sums over neighbours in one pass
         zero = F.lit(0.0)
-        start = F.struct(F.lit(-1.0).alias("v"), zero.alias("s"), zero.alias("q"), zero.alias("c"), zero.alias("runs"), zero.alias("high"), zero.alias("first"))
+        start = F.struct(F.lit(-1.0).alias("v"), F.lit(-1).alias("kind"), zero.alias("s"), zero.alias("q"), zero.alias("c"), zero.alias("runs"), zero.alias("first"))
 
         def step(a, y):
             v = F.instr(alphabet, y).cast("double") - 1
+            kind = F.when(y.between("0", "9"), 0).when(y.between("a", "z"), 1).when(y.between("A", "Z"), 2).otherwise(3)
             begins = a["v"] < 0
-            half = k / 2
             return F.struct(
                 v.alias("v"),
+                kind.alias("kind"),
                 (a["s"] + v).alias("s"),
                 (a["q"] + v * v).alias("q"),
                 (a["c"] + F.when(begins, 0.0).otherwise(a["v"] * v)).alias("c"),
-                (a["runs"] + F.when(begins | ((a["v"] >= half) != (v >= half)), 1.0).otherwise(0.0)).alias("runs"),
-                (a["high"] + F.when(v >= half, 1.0).otherwise(0.0)).alias("high"),
+                (a["runs"] + F.when(a["kind"] != kind, 1.0).otherwise(0.0)).alias("runs"),
                 F.when(begins, v).otherwise(a["first"]).alias("first"),
             )
 
@@ -139,13 +172,14 @@ def p_value(token: Column) -> Column:
             lag = a["c"] - m * (a["s"] - a["v"]) - m * (a["s"] - a["first"]) + (n - 1) * m * m
             return F.when(var <= 0, F.lit(30.0)).otherwise((lag / var + 1 / n) * F.sqrt(n))
 
-        def runs(a, both):  # both: twice the product of how many are in either half
-            spread = both * (both - n) / (n * n * (n - 1))
-            return F.when(spread <= 0, F.lit(30.0)).otherwise((a["runs"] - both / n - 1) / F.sqrt(spread))
+        def runs(a, of_kind):  # as many kinds as there are, each so often
+            two, three = (_total([F.pow(c, F.lit(e)) for c in of_kind]) for e in (2.0, 3.0))
+            spread = (two * (two + n * (n + 1)) - 2 * n * three - n * n * n) / (n * n * (n - 1))
+            return F.when(spread <= 1e-9, F.lit(30.0)).otherwise((a["runs"] - 1 - (n * n - two) / n) / F.sqrt(F.greatest(spread, F.lit(1e-9))))
 
         def finish(a):
             z3 = _let(a["s"] / n, lambda m: _let(a["q"] - n * m * m, lambda var: correlation(a, m, var)))
-            z2 = _let(2 * a["high"] * (n - a["high"]), lambda both: runs(a, both))
+            z2 = _let(F.array(*(_count(text, c) for c in _KINDS)), lambda c: runs(a, [c[i] for i in range(len(_KINDS))]))
             half = -(_log_p(z1, False) + _log_p(z2, True) + _log_p(z3, True))
             fisher = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared of 6 degrees
             return F.when(n * F.log2(k) >= LEAST_BITS, F.greatest(F.lit(1e-300), F.least(F.lit(1.0), fisher)))
@@ -153,7 +187,7 @@ def p_value(token: Column) -> Column:
         return F.aggregate(chars, start, step, finish)
 
     alphabet = _alphabet(token)
-    packed = F.array(F.struct(F.filter(F.split(clean, ""), lambda c: c != "").alias("chars"), alphabet.alias("alphabet")))
+    packed = F.array(F.struct(F.filter(F.split(clean, ""), lambda c: c != "").alias("chars"), alphabet.alias("alphabet"), clean.alias("text")))
     # a list of one, so that what is computed once is not computed for each character
     return F.when(alphabet.isNotNull() & (F.length(clean) >= 14), F.element_at(F.transform(packed, of), 1))
 
@@ -174,21 +208,26 @@ def _candidates(text: Column) -> Column:
     return F.filter(spans, lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]"))
 
 
+def threshold(counts: list[int], rate: float) -> int:
+    """The least step of -log10 p at which a string is taken for ordinary, from the number
+    of strings in each step."""
+    upper = round(-math.log10(UPPER_P) * STEPS)
+    seen = sum(counts[:upper])
+    for least in range(round(-math.log10(LEAST_P) * STEPS), upper, -1):
+        share = (1 - 10 ** (-least / STEPS)) / (1 - UPPER_P)  # of random strings above, to those in the upper half
+        ordinary = sum(counts[:least]) - seen * share
+        if ordinary - 1.645 * share * math.sqrt(seen + 1) <= rate * sum(counts[:least]):
+            return least
+    return upper
+
+
 def rejection_steps(df: DataFrame, text_col: str = "text", rate: float = 0.1) -> dict[int, int]:
-    """Band -> least step of -log10 p at which randomness is rejected."""
+    """Band -> least step of -log10 p at which a string is taken for ordinary."""
     found = df.select(_candidates(F.coalesce(df[text_col], F.lit(""))).alias("found")).select(F.explode("found").alias("x")).select(F.col("x.hit").alias("hit"))
     found = found.select("hit", p_value(F.col("hit")).alias("p")).where("p is not null")
     counts = found.groupBy(_band(F.length("hit")).alias("band"), _step(F.col("p")).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = {}
-    for band in range(len(BANDS) + 1):
-        own = sorted(((r.step, r.n) for r in counts if r.band == band), reverse=True)
-        total, rank, least = sum(n for _, n in own), 0, MOST_STEPS + 1
-        for step, n in own:
-            rank += n
-            if 10 ** (-step / STEPS) <= rate * rank / total:
-                least = step
-        out[band] = least
-    return out
+    known = {(r.band, r.step): r.n for r in counts}
+    return {band: threshold([known.get((band, k), 0) for k in range(MOST_STEPS + 1)], rate) for band in range(len(BANDS) + 1)}
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", *, rate: float = 0.1, out_col: str = "spans") -> DataFrame:
@@ -203,20 +242,21 @@ def find_secrets(df: DataFrame, text_col: str = "text", *, rate: float = 0.1, ou
     limits = F.create_map(*(F.lit(x) for kv in steps.items() for x in kv))
     text = F.coalesce(df[text_col], F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 1, ASSIGN_LENGTH), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    out = df.withColumn("__base", base).withColumn("__found", _candidates(text))
+    first, found = fresh([*df.columns, out_col], "base", "found")
+    out = df.withColumn(first, base).withColumn(found, settled(_candidates(text)))
 
     def unexplained(x):
-        clear = ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        clear = ~F.exists(first, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         p = p_value(x["hit"])
         return clear & F.coalesce(_step(p) < F.element_at(limits, _band(F.length(x["hit"]))), F.lit(False))
 
-    added = F.transform(F.filter("__found", unexplained), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    added = F.transform(F.filter(found, unexplained), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
     names = F.array(*map(F.lit, KINDS))
     spans = F.transform(
-        F.array_sort(F.concat(F.col("__base"), F.when(F.size("__found") > 0, added).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")))),
+        F.array_sort(F.concat(F.col(first), F.when(F.size(found) > 0, added).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")))),
         lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.element_at(names, x["rank"] + 1).alias("kind")),
     )
-    return out.withColumn(out_col, spans).drop("__base", "__found")
+    return out.withColumn(out_col, settled(spans)).drop(first, found)
 
 
 def span_text(spans: Column) -> Column:
@@ -226,8 +266,10 @@ def span_text(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", *, rate: float = 0.1, mask: str = "[REDACTED]") -> DataFrame:
     """``df`` with every span of its text replaced; overlapping spans by one mask.  A null
-    text stays null."""
-    found = find_secrets(df, text_col, rate=rate, out_col="__spans")
+    text stays null, an empty one empty, all other columns as they are.  Repeated rows
+    give repeated results; an empty table stays empty."""
+    (spans,) = fresh(df.columns, "spans")
+    found = find_secrets(df, text_col, rate=rate, out_col=spans)
     text = F.col(text_col)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -239,5 +281,5 @@ def redact(df: DataFrame, text_col: str = "text", *, rate: float = 0.1, mask: st
     def finish(a):
         return F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
 
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", first, step, finish)).otherwise(text)
-    return found.withColumn(text_col, clean).drop("__spans")
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, first, step, finish)).otherwise(text)
+    return found.withColumn(text_col, clean).drop(spans)
