@@ -4,6 +4,11 @@ features where no rule decides.
 The trees are boosted with the logistic loss on histograms of the features, in numpy on
 the driver, from a bounded sample of labelled URLs.  Features and trees are Spark SQL
 expressions, so judging a table is one scan of its URL column.
+
+Where rules are the only labels, the ends of hosts that rules name say what the rules say,
+not what URLs are like, so their statistics are left out (``blind``); the trees then
+learn from what else the decided URLs look like.  How many URLs rules block says nothing
+about the others either, so both labels weigh the same.
 """
 
 from __future__ import annotations
@@ -14,11 +19,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import fresh, settled
+
 #: Labelled URLs that trees are fitted on, at most: those of the smallest hash.
 LEARNING_ROWS = 20_000
-#: Suffixes (last parts of hosts) with statistics of their own, at most; rarer ones share one.
+#: Suffixes (last parts of hosts) with statistics of their own, at most, the most frequent
+#: among the learning rows; rarer ones share one.
 SUFFIXES = 200
 
+#: Least score that blocks.  Labels weigh the same, so 0.5 is no evidence at all.
+THRESHOLD = 0.8
+
 #: Rules of verdict, host and path.
 RULES = (
     ("allow", "com/"),
@@ -109,10 +120,10 @@ class Node:
             return np.full(len(x), self.value)
         return np.where(x[:, self.feature] <= self.threshold, self.low.predict(x), self.high.predict(x))
 
-    def sql(self) -> str:
+    def sql(self, names: dict[str, str]) -> str:
         if self.low is None:
             return f"{self.value!r}D"
-        return f"if(f_{FEATURES[self.feature]} <= {self.threshold!r}D, {self.low.sql()}, {self.high.sql()})"
+        return f"if({names[FEATURES[self.feature]]} <= {self.threshold!r}D, {self.low.sql(names)}, {self.high.sql(names)})"
 
 
 def _tree(bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, least: int, ridge: float, rate: float) -> Node:
@@ -153,45 +164,55 @@ class Trees:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.base - sum((t.predict(x) for t in self.trees), np.zeros(len(x)))))
 
-    def column(self) -> Column:
-        """The probability of blocking, over columns f_<feature>."""
-        return F.expr("1D / (1D + exp(-(" + " + ".join([f"{self.base!r}D", *(t.sql() for t in self.trees)]) + ")))")
+    def column(self, names: dict[str, str]) -> Column:
+        """The probability of blocking, over the columns that ``names`` gives for features."""
+        return F.expr("1D / (1D + exp(-(" + " + ".join([f"{self.base!r}D", *(t.sql(names) for t in self.trees)]) + ")))")
 
 
-def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, ridge: float = 1.0, bins: int = 32) -> tuple[float, list[Node]]:
-    """Trees for labels 0 and 1; only the base where there is one label."""
+def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, ridge: float = 1.0, bins: int = 32, held: np.ndarray | None = None) -> tuple[float, list[Node]]:
+    """Trees for labels 0 and 1, both of the same weight in all; only the base where there is
+    one label.  Rows that are ``held`` teach nothing, but as many trees stay as are best for
+    their loss, if they have both labels."""
     if not len(y):
         return -20.0, []
-    mean = float(np.clip(y.mean(), 1e-9, 1 - 1e-9))
-    base = float(np.log(mean / (1 - mean)))
     if y.min() == y.max():
-        return base, []
+        return 20.0 if y[0] else -20.0, []
+    base, mean = 0.0, float(y.mean())
+    weight = np.where(y > 0, 0.5 / mean, 0.5 / (1 - mean))
     edges = []
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         cuts = (values[1:] + values[:-1]) / 2
         edges.append(cuts if len(cuts) < bins else np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])))
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
-    score, out, rows = np.full(len(y), base), [], np.arange(len(y))
-    for _ in range(trees):
+    judged = held is not None and len(np.unique(y[held])) == 2 and len(np.unique(y[~held])) == 2
+    score, out, rows = np.full(len(y), base), [], np.flatnonzero(~held) if judged else np.arange(len(y))
+    losses = []
+    for _ in range(trees + 1):
         p = 1 / (1 + np.exp(-score))
-        tree = _tree(binned, edges, p - y, p * (1 - p), rows, depth, least, ridge, rate)
+        losses.append(float(-(weight * np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-12, 1)))[held].sum()) if judged else -len(losses))
+        if len(out) == trees:
+            break
+        tree = _tree(binned, edges, weight * (p - y), weight * p * (1 - p), rows, depth, least, ridge, rate)
         out.append(tree)
         score += tree.predict(x)
-    return base, out
+    return base, out[: int(np.argmin(losses))]
 
 
-def fit(df: DataFrame, url_col: str, label: Column, *, rows: int = LEARNING_ROWS, **options) -> Trees:
-    """Trees from the rows where ``label`` (true: block) is not null.
+def fit(df: DataFrame, url_col: str, label: Column, *, rows: int = LEARNING_ROWS, suffixes: int = SUFFIXES, blind: frozenset[str] = frozenset(), **options) -> Trees:
+    """Trees from the rows where ``label`` (true: block) is not null, at most ``rows`` of
+    them; only their features reach the driver.
 
     A suffix's statistic for a learning row leaves that row's own fold out, so that it
-    says no more than it will for new URLs.
+    says no more than it will for new URLs; suffixes in ``blind`` have none.  The URLs of
+    every fifth host (by hash) are held back and settle how many trees stay.  Repeated and
+    null URLs count as any other; without labels, or with one only, there are no trees.
     """
     src = df.select(df[url_col].alias("url"), "host", "path", label.alias("y")).where("y is not null")
     cols = feature_columns(F.col("url"), {}, 0.0)
     picked = src.orderBy(F.xxhash64("url"), "url", "y").limit(rows)
-    got = picked.select("url", "y", _suffix().alias("end"), *(c.alias(f"f_{k}") for k, c in cols.items())).collect()
-    got = sorted(got, key=lambda r: (r.url or "", r.y))
+    got = picked.select("y", F.xxhash64("url").alias("place"), (F.pmod(F.xxhash64("host"), F.lit(5)) == 0).alias("held"), _suffix().alias("end"), *(c.alias(f"f_{k}") for k, c in cols.items())).collect()
+    got = sorted(got, key=lambda r: (r.place, r.y, r.end or ""))
     y = np.array([float(r.y) for r in got])
     x = np.array([[r[f"f_{k}"] for k in FEATURES] for r in got], float).reshape(len(got), len(FEATURES))
     ends = [r.end for r in got]
@@ -199,33 +220,40 @@ def fit(df: DataFrame, url_col: str, label: Column, *, rows: int = LEARNING_ROWS
     fold = np.arange(len(got)) % 5
     counts: dict[str, np.ndarray] = {}
     for e, v, k in zip(ends, y, fold):
-        c = counts.setdefault(e, np.zeros((5, 2)))
-        c[k] += (v, 1)
-    kept = dict(sorted(counts.items(), key=lambda kv: (-kv[1][:, 1].sum(), kv[0]))[:SUFFIXES])
+        if e not in blind:
+            c = counts.setdefault(e, np.zeros((5, 2)))
+            c[k] += (v, 1)
+    kept = dict(sorted(counts.items(), key=lambda kv: (-kv[1][:, 1].sum(), kv[0]))[:suffixes])
 
     def smooth(s):
         return float((s[0] + 5 * prior) / (s[1] + 5))
 
     for i, (e, k) in enumerate(zip(ends, fold)):
         x[i, -1] = smooth(kept[e].sum(0) - kept[e][k]) if e in kept else prior
-    base, trees = boost(x, y, **options)
+    base, trees = boost(x, y, held=np.array([r.held for r in got], bool), **options)
     return Trees(base, trees, {e: smooth(c.sum(0)) for e, c in kept.items()}, prior)
 
 
-def judge_urls(df: DataFrame, url_col: str = "url", *, rules=RULES, trees: Trees | None = None, threshold: float = 0.5) -> DataFrame:
+def named_suffixes(rules=RULES) -> frozenset[str]:
+    """The ends of the hosts in the rules."""
+    return frozenset(rule.partition("/")[0].rpartition(".")[2] for _, rule in rules)
+
+
+def judge_urls(df: DataFrame, url_col: str = "url", *, rules=RULES, trees: Trees | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule``, ``block_score`` and ``verdict``.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the
     longest decides.  Elsewhere the trees do; without any given they are fitted on the
     URLs that the rules label.  A null or empty URL has the features of an empty string
-    and is allowed, whatever the trees make of it.
-    Columns of these names are replaced.
+    and is allowed, whatever the trees make of it.  Repeated rows give repeated results;
+    an empty table stays empty.  Columns of these names are replaced, all others stay.
     """
-    src = with_parts(df.drop("rule", "verdict", "block_score", *(f"f_{k}" for k in FEATURES)), url_col)
+    src = with_parts(df.drop("rule", "verdict", "block_score"), url_col)
     which, verdict = rule_columns(rules)
     if trees is None:
-        trees = fit(src, url_col, verdict == "block")
+        trees = fit(src, url_col, verdict == "block", blind=named_suffixes(rules))
+    names = dict(zip(FEATURES, fresh([*src.columns, "rule", "verdict", "block_score"], *(f"f_{k}" for k in FEATURES))))
     cols = feature_columns(F.col(url_col), trees.rates, trees.prior)
-    out = src.withColumns({f"f_{k}": c for k, c in cols.items()}).withColumn("block_score", trees.column())
+    out = src.withColumns({names[k]: c for k, c in cols.items()}).withColumn("block_score", settled(trees.column(names)))
     judged = F.when((F.col("block_score") >= threshold) & (F.coalesce(F.col(url_col), F.lit("")) != ""), "block").otherwise("allow")
-    return out.withColumns({"rule": which, "verdict": F.coalesce(verdict, judged)}).drop(*(f"f_{k}" for k in FEATURES))
+    return out.withColumns({"rule": which, "verdict": F.coalesce(verdict, judged)}).drop(*names.values())
