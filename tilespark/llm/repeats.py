@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tilespark.llm.bpe import slices, texts_of
-from tilespark.llm.common import Scratch
+from tilespark.llm.common import Scratch, tidy
 from tilespark.llm.hashing import U, grams, mix, prefix, repeated, spans
 
 #: Anchors that a task holds back so as to settle repeats among them.
@@ -53,8 +53,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = grams(prefix(data), gram)
     m = len(hashes)
-    low = U((1 << 28) - 1)
-    key = (hashes & ~low) | np.arange(m, dtype=U)  # texts of a slice stay below 2**28 bytes
+    low = U((1 << max(28, m.bit_length())) - 1)
+    key = (hashes & ~low) | np.arange(m, dtype=U)  # a position needs more bits in a very long text only
     rows = -(-m // w) + 1
     block = np.full(rows * w, ~U(0), U)
     block[:m] = key
@@ -178,7 +178,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     size = 0
         yield from out()
 
-    return docs.mapInArrow(run, "route long, mark byte, doc long, anchor long, key long, value long")
+    return docs.mapInArrow(tidy(run), "route long, mark byte, doc long, anchor long, key long, value long")
 
 
 def _window_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
                         size = 0
         yield from out()
 
-    return docs.mapInArrow(run, "route long, mark byte, doc long, value long")
+    return docs.mapInArrow(tidy(run), "route long, mark byte, doc long, value long")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, gram: int = 128, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
@@ -294,4 +294,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = whole.join(found.hint("merge"), "doc", "left").select("id", "text", "values", *(["rest"] if carry else []))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("id", whole.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", span), *([whole.schema["rest"]] if carry else [])])
-    return last.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return last.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
