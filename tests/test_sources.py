@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tilespark.functions import images, registry
 from tilespark.functions.colour import parse_color
 from tilespark.operators import pyramid
-from tilespark.sources import containers, tiff, zarr
+from tilespark.sources import containers, microscopy, storage, tiff, zarr
 
 RND = np.random.default_rng(1)
 
@@ -142,3 +142,14 @@ def test_registry(spark):
     for bad, kind in (("nope", ValueError), (3, TypeError)):
         with pytest.raises(kind):
             parse_color(bad)
+
+
+@pytest.mark.parametrize("streams", [{"a": 7_000_000}, {"a": 9_000_000, "b": 9_000_000, **{f"s/{k}": 60 * k for k in range(400)}}, {f"s/{k}": 900 for k in range(12_000)}])
+def test_compound_files_of_many_sectors(streams):
+    """Allocation tables beyond the 109 that the head lists."""
+    data = {p: RND.bytes(n) for p, n in streams.items()}
+    whole = microscopy.compound_encode(data)
+    assert len(whole) % 512 == 0
+    ole = microscopy.Compound(storage.BytesSource(whole))
+    assert set(ole.streams) == set(data)
+    assert all(ole.read(p) == x for p, x in data.items())
