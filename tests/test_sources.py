@@ -144,6 +144,38 @@ def test_registry(spark):
             parse_color(bad)
 
 
+@pytest.mark.parametrize("big", [False, True])
+def test_files_of_many_pages(tmp_path, monkeypatch, big):
+    """What is read of the heads grows with the pages, and small pages share partitions."""
+    x = RND.integers(0, 999, (2, 700, 4, 6)).astype("u2")
+    for k in range(2):
+        tiff.write_tiff(f"{tmp_path}/{k}.tif", list(x[k]), big=big)
+    asked = 0
+
+    def counted(path, real=tiff.file_reader):
+        read_at = real(path)
+
+        def run(at, n):
+            nonlocal asked
+            asked += 1
+            return read_at(at, n)
+
+        return run
+
+    monkeypatch.setattr(tiff, "file_reader", counted)
+    for options, most in (({}, 4), ({"tilesPerPartition": 100}, 14)):
+        asked = 0
+        reader = tiff.TiffReader({"path": f"{tmp_path}/*.tif", **options})
+        parts = reader.partitions()
+        assert 1 < len(parts) <= most
+        rows = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+        assert asked < 10 * 1400
+        got = {(r["path"][-5], r["page"]): r["payload"] for r in rows}
+        assert len(rows) == 1400 and got == {(str(k), n): x[k, n].tobytes() for k in range(2) for n in range(700)}
+    reader.tests = [("page", tiff.GreaterThanOrEqual, 650)]
+    assert sum(run.last - run.first for part in reader.partitions() for run in part.runs) == 100
+
+
 @pytest.mark.parametrize("streams", [{"a": 7_000_000}, {"a": 9_000_000, "b": 9_000_000, **{f"s/{k}": 60 * k for k in range(400)}}, {f"s/{k}": 900 for k in range(12_000)}])
 def test_compound_files_of_many_sectors(streams):
     """Allocation tables beyond the 109 that the head lists."""
