@@ -91,3 +91,24 @@ def test_bucket_pointers_sort_and_join_equal_strings():
             order = np.argsort(bucket, kind="stable")
             assert [strings[i] for i in order] == sorted(strings)
             assert len(set(bucket.tolist())) == len(set(strings))
+
+
+def test_settling_copies_only_what_goes_out():
+    import tracemalloc
+
+    n = 2_000_000
+    keys = np.arange(n, dtype=np.uint64)
+    keys[: n // 4] = keys[n // 4 : n // 2]
+    columns = {c: np.arange(k, n + k) for k, c in enumerate(("doc", "anchor", "key", "value"))}
+    twice = repeats.repeated(keys)
+    tracemalloc.start()
+    marks = Counter()
+    for batch in repeats._settle(keys, columns, twice):
+        for mark, count in Counter(batch.column(1).to_numpy().tolist()).items():
+            marks[mark] += count
+        if batch.column(1)[0].as_py() == repeats.ONCE:
+            assert batch.column(0).equals(batch.column(2))  # the key of a row seen once is its route
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks == {repeats.ONCE: n // 2, repeats.KNOWN: n // 2, repeats.STANDS: n // 4}
+    assert most < 40 * n  # one copy of the rows

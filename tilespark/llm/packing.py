@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tilespark.llm.bpe import RankBpe, model, slices, texts_of
+from tilespark.llm.common import tidy
 
 #: A sequence's id: the partition's number times this, plus a count within it.
 IDS_PER_PARTITION = 1 << 36
@@ -162,8 +163,9 @@ def pack(
                         yield from out(packer.flush(False))
         if packer.docs or packer.carried:
             yield from out(packer.flush(True))
+        bpe.cache.clear()  # the worker goes on to other stages
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     long = T.LongType()
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)])
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return src.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -39,6 +39,8 @@ from tilespark.llm.hashing import U, grams, mix, prefix, repeated, spans
 TASK_ANCHORS = 1_000_000
 #: Bytes of text whose anchors are sought at once, and of contexts suffix-sorted at once.
 SCAN_BYTES, SORT_BYTES = 1 << 19, 1 << 20
+#: Rows that a task sends on at once.
+SETTLED_ROWS = 200_000
 
 #: Rows on their way to ``_meeting``: seen once in the task; known to repeat; stands for
 #: those of the task that are known to.
@@ -125,17 +127,22 @@ def windows_in_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
 
 
 def _settle(keys: np.ndarray, columns: dict[str, np.ndarray], twice: np.ndarray):
-    """The rows of one task for ``_meeting``: ``twice`` says which keys repeat in it."""
+    """The rows of one task for ``_meeting``: ``twice`` says which keys repeat in it.  Only
+    the rows that go out at once are copied."""
     known, once = np.flatnonzero(twice), np.flatnonzero(~twice)
     stands = np.sort(keys[known])
     stands = stands[np.concatenate([[True], stands[1:] != stands[:-1]])] if len(stands) else stands
-    spread = mix(columns["doc"][known].view(U) + columns["value"][known].astype(U) * U(0x9E3779B97F4A7C15))
-    route = np.concatenate([keys[once], spread, stands]).view(np.int64)
-    mark = np.repeat(np.array([ONCE, KNOWN, STANDS], np.int8), [len(once), len(known), len(stands)])
-    rest = {k: np.concatenate([v[once], v[known], np.zeros(len(stands), np.int64)]) for k, v in columns.items()}
-    for a in range(0, len(route), 200_000):
-        s = slice(a, a + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (route, mark, *rest.values())], names=["route", "mark", *rest])
+    names = ["route", "mark", *columns]
+    for mark, rows in ((ONCE, once), (KNOWN, known), (STANDS, stands)):
+        for a in range(0, len(rows), SETTLED_ROWS):
+            at = rows[a : a + SETTLED_ROWS]
+            if mark == STANDS:
+                route, rest = at, [np.zeros(len(at), np.int64) for _ in columns]
+            else:
+                route, rest = keys[at], [v[at] for v in columns.values()]
+            if mark == KNOWN:
+                route = mix(columns["doc"][at].view(U) + columns["value"][at].astype(U) * U(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route.view(np.int64), np.full(len(at), mark, np.int8), *rest)], names=names)
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         def out():
             if held:
-                hashes, doc, key, value = (np.concatenate(x) for x in zip(*held))
+                hashes, doc, key, value = (np.concatenate([x.pop(0) for x in held]) for _ in range(4))
                 held.clear()
                 twice = repeated(hashes)
                 anchor = np.where(twice, hashes, U(0)).view(np.int64)  # elsewhere it is the route
