@@ -4,6 +4,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -120,3 +121,14 @@ def test_very_long_texts(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = spark.createDataFrame(stage(spark, kept, sf_dir).collect(), docs.schema)
     assert {r.doc_id for r in kept.collect()} == {1, 2}
+
+
+def test_batches_to_python_stay_small(spark):
+    docs = spark.range(5000, numPartitions=1).selectExpr("id as doc_id", "repeat('a word ', 300) as text", "'en' as lang", "'s' as source", "2100L as n_chars")
+    corpus_pipeline.ship(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 6_000_000
