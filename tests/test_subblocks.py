@@ -1,5 +1,11 @@
 """Overlaps of all boxes and blocks against brute force."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tilespark.operators import pyramid
 from tilespark.plans import array_queries as q
 
 
@@ -13,3 +19,33 @@ def test_all_boxes(spark, sf_dir):
     assert any(e % 97 for e, _ in want)
     got = q.QUERIES["subblock_overlap_all"](spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_no_task_makes_most_of_the_pairs(spark):
+    """Few small rows, many pairs: they must not all come out of one task."""
+    place = (F.col("id") % 100).cast("int")
+    boxes = spark.range(10_000).select("id", F.lit(0).alias("k"), F.lit(0).alias("y0"), F.lit(1).alias("y1"), place.alias("x0"), (place + 1).alias("x1"))
+    blocks = spark.range(20_000).select(F.col("id").alias("block"), F.lit(0).alias("k"), F.lit(0).alias("by0"), place.alias("bx0"), F.lit(1).alias("bh"), F.lit(1).alias("bw"))
+    pairs = pyramid.subblock_overlaps(boxes, blocks, ["k"], 16)
+    tasks = [r["count"] for r in pairs.select("id", "block").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 10_000 * 200
+    assert max(tasks) < 0.5 * sum(tasks)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_listed_and_shuffled_blocks_give_the_same(spark, few):
+    """Equal blocks, nulls, empty ones, places below zero and several keys; columns as before."""
+    rng = random.Random(5)
+    boxes = [(rng.choice([0, 1, None]), i, y := rng.randrange(-40, 40), y + rng.randrange(0, 30), x := rng.randrange(-40, 40), x + rng.randrange(0, 30)) for i in range(150)]
+    blocks = [(rng.choice([None, 7, 8]), rng.choice([0, 1, None]), rng.randrange(-4, 4) * 10, rng.randrange(-4, 4) * 10, rng.randrange(0, 3) * 5, 7, "n" if i % 3 else None) for i in range(150)]
+    a = spark.createDataFrame(boxes, "k int, id int, y0 int, y1 int, x0 int, x1 int")
+    b = spark.createDataFrame(blocks + blocks[:20], "p int, k int, by0 int, bx0 int, bh int, bw int, name string")
+    got = pyramid.subblock_overlaps(a, b, ["k"], 16, few=few)
+    assert got.columns == ["k", "id", "y0", "y1", "x0", "x1", "p", "by0", "bx0", "bh", "bw", "name"]
+    want = [
+        (k, i, y0, y1, x0, x1, p, by, bx, h, w, name)
+        for k, i, y0, y1, x0, x1 in boxes
+        for p, kb, by, bx, h, w, name in blocks + blocks[:20]
+        if k is not None and k == kb and y1 > y0 and x1 > x0 and h > 0 and by < y1 and by + h > y0 and bx < x1 and bx + w > x0
+    ]
+    assert want and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
