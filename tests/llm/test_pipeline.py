@@ -15,7 +15,7 @@ import test_bpe_packing
 import test_secrets_quality
 import test_similarity
 
-from tilespark.llm import bpe
+from tilespark.llm import bpe, common
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -132,3 +132,34 @@ def test_batches_to_python_stay_small(spark):
             yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
 
     assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 6_000_000
+
+
+def test_batches_from_python_stay_small():
+    rows = pa.RecordBatch.from_pydict({"id": list(range(3000)), "text": ["x" * 3000] * 3000})
+    out = list(common.tidy(lambda batches: batches)(iter([rows])))
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([rows]))
+    assert max(b.nbytes for b in out) <= 1.1 * common.BATCH_BYTES
+    one = pa.RecordBatch.from_pydict({"text": ["x" * 3_000_000]})
+    assert [b.num_rows for b in common.tidy(lambda batches: batches)(iter([one]))] == [1]
+
+
+def test_batches_to_python_fit_a_chunk(spark):
+    docs = spark.range(5000, numPartitions=1).selectExpr("id as doc_id", "repeat('a word ', 300) as text")
+    corpus_pipeline.ship(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2_000_000
+
+
+def test_packing_leaves_no_vocabulary_in_workers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    assert corpus_pipeline.packing(spark, docs, sf_dir).count()
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [bpe.model.cache_info().currsize]})
+
+    assert max(r.n for r in spark.range(64).mapInArrow(left, "n long").collect()) == 0

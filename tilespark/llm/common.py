@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: A side of a join with no more rows than this may be broadcast (rows of a few
 #: integers: some tens of MB in an executor).  Beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch on its way back from Python.  The executor holds a batch outside its
+#: heap in one piece, and what large pieces leave behind there does not go back to the system.
+BATCH_BYTES = 1 << 20
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -46,13 +49,22 @@ def let_go() -> None:
         pass
 
 
+def parted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``BATCH_BYTES`` (one row at least)."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow function that gives its memory back when its task ends."""
+    """An Arrow function whose batches are small, and that gives its memory back when its
+    task ends."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield from parted(batch)
         finally:
             let_go()
 

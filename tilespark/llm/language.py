@@ -244,7 +244,9 @@ def learning_rows(
     quota = max(least_rows, min(rows_per_language, rows // len(counts)))
 
     def drawn(shares: dict[str, float]) -> list:
-        near = src.join(F.broadcast(df.sparkSession.createDataFrame(list(shares.items()), "lang string, share double")), "lang").where("place < share")
+        # from Arrow, as rows of Python's would start further workers on the executors
+        known = pa.table({"lang": pa.array(list(shares), pa.string()), "share": pa.array(list(shares.values()), pa.float64())})
+        near = src.join(F.broadcast(df.sparkSession.createDataFrame(known)), "lang").where("place < share")
         order = Window.partitionBy("lang").orderBy("place", "id", "pieces")
         return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota).select("lang", "pieces", "place", "nth").collect()
 

@@ -146,8 +146,8 @@ def pack(
         end = np.array([end_id], "<u4").tobytes()
 
         def out(rows):
-            for at in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[at : at + 20_000]))
+            for at in range(0, len(rows), 2_000):
+                cols = list(zip(*rows[at : at + 2_000]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array([len(x) for x in cols[2]], pa.int64()), pa.array([x.tobytes() for x in cols[2]], pa.binary()), *(pa.array(x, pa.int64()) for x in cols[3:])],
                     names=schema.names,
@@ -163,7 +163,10 @@ def pack(
                         yield from out(packer.flush(False))
         if packer.docs or packer.carried:
             yield from out(packer.flush(True))
-        bpe.cache.clear()  # the worker goes on to other stages
+        # the worker goes on to other stages
+        bpe.cache.clear()
+        del bpe
+        model.cache_clear()
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     long = T.LongType()

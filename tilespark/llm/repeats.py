@@ -38,9 +38,9 @@ from tilespark.llm.hashing import U, grams, mix, prefix, repeated, spans
 #: Anchors that a task holds back so as to settle repeats among them.
 TASK_ANCHORS = 1_000_000
 #: Bytes of text whose anchors are sought at once, and of contexts suffix-sorted at once.
-SCAN_BYTES, SORT_BYTES = 1 << 19, 1 << 20
+SCAN_BYTES, SORT_BYTES = 1 << 18, 1 << 19
 #: Rows that a task sends on at once.
-SETTLED_ROWS = 200_000
+SETTLED_ROWS = 20_000
 
 #: Rows on their way to ``_meeting``: seen once in the task; known to repeat; stands for
 #: those of the task that are known to.

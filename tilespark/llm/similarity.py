@@ -390,7 +390,7 @@ def _links(queries: DataFrame, members: DataFrame, sketches: DataFrame, docs: Da
     met = _meetings(queries, members, sketches.withColumnRenamed("sketch", "data"), scratch)
     some = scratch.table(met.mapInArrow(tidy(sketched), "g long, fp long, c long, w long, query boolean").distinct())
     if not some.limit(1).count():
-        return docs.sparkSession.createDataFrame([], "a long, b long")
+        return docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     want = scratch.table(reps.join(some.select("fp").distinct(), "fp", "left_semi"))
     sets = scratch.table(_sets(docs, want, words).groupBy("fp").agg(F.first("tokens").alias("data")))
     met = _meetings(some.where("query"), some.where("not query"), sets.withColumn("n", F.size("data").cast("long")), scratch)
